@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from siftloom.llm.packing import op10_packing
+from siftloom.llm.quality_model import op6_quality_classifier
 from siftloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
