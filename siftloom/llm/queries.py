@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from siftloom.llm.mixing import OP5_SQL, op5_mixing
 from siftloom.llm.packing import op10_packing
 from siftloom.llm.quality_model import op6_quality_classifier
+from siftloom.llm.quality_rules import OP2_SQL, op2_quality_rules
 from siftloom.llm.toxicity import op1_toxicity
+from siftloom.llm.warc import op7_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_warc": op7_warc,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+    "op5_mixing": OP5_SQL,
+}
