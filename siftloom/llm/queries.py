@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftloom.llm.jaccard import op4_jaccard_join
 from siftloom.llm.mixing import OP5_SQL, op5_mixing
 from siftloom.llm.packing import op10_packing
 from siftloom.llm.quality_model import op6_quality_classifier
@@ -12,6 +13,7 @@ from siftloom.llm.warc import op7_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
