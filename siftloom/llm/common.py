@@ -80,3 +80,33 @@ def text_slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 21) -> Itera
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+BITMAP_BITS = 1 << 25
+
+
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) of a bigint column's hashes; with more keys than it can tell apart it only lets more rows through."""
+    from siftloom.llm.bytescan import mix
+
+    schema = pa.schema([("bitmap", pa.binary())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(BITMAP_BITS >> 3, np.uint8)
+        for batch in batches:
+            h = mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(BITMAP_BITS)
+            np.bitwise_or.at(bitmap, (h >> np.uint64(3)).astype(np.int64), np.left_shift(1, (h & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        yield batch_of(schema, [[bitmap.tobytes()]])
+
+    bitmap = np.zeros(BITMAP_BITS >> 3, np.uint8)
+    for row in keys.coalesce(4).mapInArrow(mark, "bitmap binary").toLocalIterator():
+        bitmap |= np.frombuffer(row["bitmap"], np.uint8)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the bitmap; never false for one that is."""
+    from siftloom.llm.bytescan import mix
+
+    h = mix(keys.view(np.uint64)) % np.uint64(BITMAP_BITS)
+    return (bitmap[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
