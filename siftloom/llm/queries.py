@@ -7,6 +7,7 @@ from siftloom.llm.mixing import OP5_SQL, op5_mixing
 from siftloom.llm.packing import op10_packing
 from siftloom.llm.quality_model import op6_quality_classifier
 from siftloom.llm.quality_rules import OP2_SQL, op2_quality_rules
+from siftloom.llm.suffixes import op9_suffix_dedup
 from siftloom.llm.toxicity import op1_toxicity
 from siftloom.llm.warc import op7_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 

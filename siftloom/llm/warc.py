@@ -71,7 +71,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def train_dictionary(pages: DataFrame, records: int = 1500, size: int = 65_536, sample_bytes: int = 4 << 20) -> bytes:
     """A dictionary from the `records` pages with the smallest hash of the id, `sample_bytes` of them at most; empty if there is too little to train on."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").select("page_id", "url", F.substring("html", 1, sample_bytes // records * 4).alias("html")).limit(records).collect()
+    chosen = pages.select("page_id").orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").limit(records).distinct()
+    cut_html = F.substring(F.coalesce("html", F.lit("")), 1, sample_bytes // records * 4)
+    rows = pages.select("page_id", "url", cut_html.alias("html")).join(F.broadcast(chosen), "page_id").limit(records).collect()
+    rows.sort(key=lambda r: (r["page_id"], r["url"] or "", r["html"]))
     samples, total = [], 0
     for r in rows:
         sample = record(r["page_id"], r["url"], r["html"].encode(), None)
@@ -117,10 +120,13 @@ def write_archives(pages: DataFrame, path: str, archives: int, dictionary: bytes
             if out:
                 yield batch_of(schema, [out])
 
-    known = revisits(pages)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).join(known, "page_id", "left")
-    dealt = rows.repartition(archives, F.xxhash64("page_id", "url"))
-    frames = dealt.mapInArrow(run, "value binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    # dealt by page_id once; the join finds that partitioning in place
+    named = rows.where("page_id is not null").repartition(archives, "page_id").join(revisits(pages), "page_id", "left")
+    frames = named.mapInArrow(run, "value binary")
+    nameless = rows.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long"))
+    if not nameless.isEmpty():
+        frames = frames.unionByName(nameless.repartition(archives, F.xxhash64("url", "html")).mapInArrow(run, "value binary"))
     frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
