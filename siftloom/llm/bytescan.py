@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -34,25 +32,28 @@ CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 FOLDED_CODES = CODES[FOLD]
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[bool, np.ndarray] = {}
+
+
 def powers(n: int, inverse: bool) -> np.ndarray:
-    """BASE**i, or its inverse modulo 2**64, for i up to n."""
-    base = int(BASE) if not inverse else pow(int(BASE), -1, 1 << 64)
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """BASE**i, or its inverse modulo 2**64, for i up to n at least; one table of each kind is kept, the longest so far."""
+    if inverse not in _POWERS or len(_POWERS[inverse]) <= n:
+        base = int(BASE) if not inverse else pow(int(BASE), -1, 1 << 64)
+        out = np.full((1 << max(16, int(n).bit_length())) + 1, base, np.uint64)
+        out[0] = 1
+        _POWERS[inverse] = np.multiply.accumulate(out, out=out)
+    return _POWERS[inverse]
 
 
 class Hasher:
     """Hash of any byte range of a buffer in constant time after one pass."""
 
     def __init__(self, buf: np.ndarray, fold: bool = False):
-        size = 1 << max(10, int(len(buf)).bit_length())
         terms = (FOLDED_CODES if fold else CODES)[buf]
-        terms *= powers(size, False)[: len(buf)]
+        terms *= powers(len(buf), False)[: len(buf)]
         self.sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])
-        self.inverse = powers(size, True)
+        self.inverse = powers(len(buf), True)
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import bytescan as bs
-from siftloom.llm.common import batch_of, cut, in_bitmap, key_bitmap, parts, scratch, text_slices
+from siftloom.llm.common import batch_of, cut, free_shuffles, in_bitmap, key_bitmap, parts, scratch, text_slices
 
 LENGTH, GRAM, BLOCK = 400, 128, 64
 U = np.uint64
@@ -245,7 +245,7 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """(base, decisions): decisions has (doc_id, f1, f2, starts, ends) of the rows that lose bytes, spans packed as 32-bit integers, not merged."""
     spark = docs.sparkSession
     base = base_rows(docs)
@@ -273,6 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rang
     same = [texts["f1"] == others["f1"], texts["f2"] == others["f2"], texts["doc_id"].eqNullSafe(others["doc_id"])]
     texts = texts.join(others, same, "left_anti").join(wanted, ["f1", "f2"]).select("f1", "f2", F.col("text").cast("binary").alias("text"), "runs")
     found = cut(sort_ranges(contexts(texts, splitters, length), length, max(8, ranges)))
+    free_shuffles(spark)
     spans = found.where("bucket = -1").unionByName(across_boundaries(found.where("bucket >= 0"), length)).select("f1", "f2", "starts", "ends")
     whole = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1))))  # noqa: E731  little-endian
     all_of = copied.select("f1", "f2", whole(F.lit(0)).alias("starts"), whole(F.col("n")).alias("ends"))
@@ -316,7 +317,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 8 << 20) -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -330,14 +331,12 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes:
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang, source, n_chars) without repeated passages.
 
-    Bytes of characters that a passage's edge cuts go as well; n_chars is counted anew where a text changed; texts that lose all their bytes are left out.
+    Bytes of characters that a passage's edge cuts go as well; n_chars is counted anew where a text changed; a text may lose all its bytes, its row stays.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("text", pa.string())])
-    base, decisions = repeated_spans(docs, length)
+    _, decisions = repeated_spans(docs, length)
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(decisions.select("f1")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("f1"), "text", "lang", "source", "n_chars", F.xxhash64(F.lit(29), text).alias("f2"))
-    del schema, base
 
     def split(touched: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,10 +356,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     continue
                 spans = merge_spans(*(np.frombuffer(b"".join(x.as_py()), np.int32) for x in (a, b)))
                 new.append(kept_bytes(t.as_buffer().to_pybytes() if t.is_valid else b"", spans).decode("utf-8", "ignore"))
-            keep = pa.array([not a.is_valid or bool(t) for a, t in zip(starts, new, strict=True)])
             chars = [n.as_py() if not a.is_valid else len(t) for n, a, t in zip(batch.column(names.index("n_chars")), starts, new, strict=True)]
             columns = {"doc_id": batch.column(names.index("doc_id")), "text": pa.array(new, pa.string()), "lang": batch.column(names.index("lang")), "source": batch.column(names.index("source")), "n_chars": pa.array(chars, pa.int64())}
-            yield pa.RecordBatch.from_pydict(columns).filter(keep)
+            yield pa.RecordBatch.from_pydict(columns)
 
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     ddl = "doc_id long, text string, lang string, source string, n_chars long"
