@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftloom.llm.jaccard import op4_jaccard_join
 from siftloom.llm.mixing import OP5_SQL, op5_mixing
+from siftloom.llm.neighbours import op8_neighbours
 from siftloom.llm.packing import op10_packing
 from siftloom.llm.quality_model import op6_quality_classifier
 from siftloom.llm.quality_rules import OP2_SQL, op2_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_warc": op7_warc,
+    "op8_neighbours": op8_neighbours,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
