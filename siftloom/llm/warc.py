@@ -106,12 +106,16 @@ def write_archives(pages: DataFrame, path: str, archives: int, dictionary: bytes
         schema = pa.schema([("value", pa.binary())])
         data = zstd.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstd.ZstdCompressor(level=level, dict_data=data, write_content_size=True, write_checksum=True)
-        begun = False
+        begun, mark = False, None
         for batch in batches:
             out, held = [], 0
             for page, url, html, ref in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if ref.is_valid:
+                    mark = (page.as_py(), ref.as_py())
+                    continue
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                frame = press.compress(record(page.as_py(), url.as_py(), payload, ref.as_py())) + LINE_FEED_FRAME
+                refers_to = mark[1] if mark and mark[0] == page.as_py() else None
+                frame = press.compress(record(page.as_py(), url.as_py(), payload, refers_to)) + LINE_FEED_FRAME
                 out.append(frame if begun else lead + frame)
                 begun, held = True, held + len(frame)
                 if held > 1 << 22:
@@ -120,13 +124,12 @@ def write_archives(pages: DataFrame, path: str, archives: int, dictionary: bytes
             if out:
                 yield batch_of(schema, [out])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # dealt by page_id once; the join finds that partitioning in place
-    named = rows.where("page_id is not null").repartition(archives, "page_id").join(revisits(pages), "page_id", "left")
-    frames = named.mapInArrow(run, "value binary")
-    nameless = rows.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long"))
-    if not nameless.isEmpty():
-        frames = frames.unionByName(nameless.repartition(archives, F.xxhash64("url", "html")).mapInArrow(run, "value binary"))
+    # revisit marks travel with the pages and sort before them, so payloads are shuffled once and joined with nothing
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(None).cast("long").alias("refers_to"))
+    marks = revisits(pages).select(F.col("page_id").cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("refers_to").cast("long").alias("refers_to"))
+    both = rows.unionByName(marks).withColumn("deal", F.coalesce("page_id", F.xxhash64("url", "html")))
+    dealt = both.repartition(archives, "deal").sortWithinPartitions("page_id", F.col("refers_to").asc_nulls_last())
+    frames = dealt.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary")
     frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
