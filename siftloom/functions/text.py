@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OUTER_SPACE = r"(?U)^\s+|\s+$"
 ACRONYM_MOST = 12
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
