@@ -6,18 +6,19 @@ projections to the cells' walls). Candidates of all tables are merged and ranked
 
 Equal vectors are indexed once and expanded behind the search, so a vector that many rows share fills no bucket. Queries and
 vectors meet by bucket: both are dealt by (table, bucket), so no task needs all of either, and each task returns only the best few
-of each query. The random projections are fixed by a seed; nothing is fitted.
+of each query. A query whose buckets hold too few points is searched exactly, in blocks. The random projections are fixed by a seed; only
+the cells' width follows the data, by the root mean square distance of all vectors from their mean.
 
 Defined results: vectors that are null, zero, or of another length than most, or that hold null or non-finite components, take no part, as
 query or candidate; rows with null ids take no part; rows that repeat an id count once per row; a query with fewer candidates than k gets
-all that were found; an empty table gives no rows.
+all there are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from siftloom.llm.common import batch_of, cut, parts
 
 @dataclass(frozen=True)
 class Hashing:
-    """Projections of all tables: h = floor((v a + b) / width)."""
+    """Projections of all tables: h = floor((v a + b) / (width * scale)); the scale is the root mean square distance of the vectors from their mean."""
 
     dimension: int
     tables: int = 4
@@ -38,12 +39,13 @@ class Hashing:
     width: float = 2.0
     probes: int = 80
     seed: int = 11
+    scale: float = 1.0
 
     def places(self, vectors: np.ndarray, table: int) -> np.ndarray:
         rng = np.random.default_rng([self.seed, table])
         a = rng.standard_normal((self.dimension, self.projections))
         b = rng.uniform(0, self.width, self.projections)
-        return (vectors @ a + b) / self.width
+        return (vectors / self.scale @ a + b) / self.width
 
     def code(self, cells: np.ndarray, table: int) -> np.ndarray:
         """64-bit bucket codes of cell numbers."""
@@ -173,6 +175,40 @@ def search_ranges(index: DataFrame, queries: DataFrame, hashing: Hashing, best:
     return index.groupBy("part").cogroup(queries.groupBy("part")).applyInArrow(run, "query long, ids binary, scores binary")
 
 
+def spread(rows: DataFrame) -> float:
+    """Root mean square distance of all vectors from their mean; 1 if there is none."""
+    parts = rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("s"))
+    total = parts.agg(F.sum("s")).first()[0]
+    return float(np.sqrt(total)) if total and np.isfinite(total) and total > 0 else 1.0
+
+
+def exact_ranges(vectors: DataFrame, queries: DataFrame, dimension: int, best: int, block: int = 2048) -> DataFrame:
+    """As search_ranges, over all vectors: for queries whose buckets hold too few. Blocks of queries meet blocks of vectors, packed."""
+    schema = pa.schema([("query", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
+    pack_schema = pa.schema([("ids", pa.binary()), ("vectors", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                yield batch_of(pack_schema, [[part.column(0).to_numpy().tobytes()], [matrix(part.column(1), dimension).tobytes()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                asked, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q, v = np.frombuffer(r["qvectors"]).reshape(-1, dimension), np.frombuffer(r["vectors"]).reshape(-1, dimension)
+                out = []
+                for k in range(len(asked)):
+                    score = np.sqrt(((v - q[k]) ** 2).sum(axis=1))
+                    top = np.lexsort((ids, score))[:best]
+                    out.append((int(asked[k]), ids[top].tobytes(), score[top].tobytes()))
+                yield batch_of(schema, [list(c) for c in zip(*out, strict=True)])
+
+    left = queries.mapInArrow(pack, "ids binary, vectors binary").toDF("qids", "qvectors")
+    return left.crossJoin(vectors.mapInArrow(pack, "ids binary, vectors binary")).mapInArrow(run, "query long, ids binary, scores binary")
+
+
 def search(table: DataFrame, is_query, k: int = 10, hashing: Hashing | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found. is_query: a condition on vec_id."""
     spark = table.sparkSession
@@ -182,6 +218,7 @@ def search(table: DataFrame, is_query, k: int = 10, hashing: Hashing | None = No
         return empty
     hashing = hashing or Hashing(int(common["d"]))
     rows = usable(table, hashing.dimension)
+    hashing = replace(hashing, scale=hashing.scale * spread(rows))
     # equal vectors are one point; its members are the k + 1 smallest ids, as no more can be among a query's answers
     keyed = rows.withColumn("key", F.xxhash64("v")).withColumn("key2", F.xxhash64(F.lit(3), "v"))
     points = keyed.groupBy("key", "key2").agg(F.min("vec_id").alias("id"))
@@ -205,7 +242,13 @@ def search(table: DataFrame, is_query, k: int = 10, hashing: Hashing | None = No
         top = np.lexsort((ids, score))[: k + 1]
         return pa.table([np.full(len(top), part.column("query")[0].as_py()), ids[top], score[top]], names=["point", "id", "score"])
 
-    near = found.groupBy("query").applyInArrow(merge, "point long, id long, score double")
+    near = cut(found.groupBy("query").applyInArrow(merge, "point long, id long, score double"))
+    # queries whose buckets hold fewer points than asked for are searched exactly
+    enough = near.groupBy("point").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("point").alias("id"))
+    short = cut(queries.join(enough, "id", "left_anti"))
+    if not short.isEmpty():
+        again = exact_ranges(vectors, short, hashing.dimension, k + 1).groupBy("query").applyInArrow(merge, "point long, id long, score double")
+        near = near.join(short.select(F.col("id").alias("point")), "point", "left_anti").unionByName(again)
     # ties at the cut: equal distances of different points are kept to the k + 1 smallest ids, enough after expansion
     answers = points_asked.join(near, "point").join(members.withColumnRenamed("vec_id", "found"), "id").where(F.col("found") != F.col("vec_id"))
     rank = Window.partitionBy("vec_id").orderBy("score", "found")
