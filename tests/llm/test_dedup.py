@@ -74,9 +74,10 @@ def test_no_rows(spark):
     assert suffixes.digest(frame(spark).limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_components(spark, local_edges):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 40), (30, 32)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), local_edges=local_edges).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30}
 
 
