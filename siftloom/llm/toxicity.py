@@ -210,12 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
         return ToxicityModel(lexicon, None, None)
     x = np.stack(got["x"].to_numpy())
     odd = bs.mix(got["doc_id"].to_numpy(np.int64).view(np.uint64))
-    # rows that the lexicon was not counted on train the trees, so that its hits mean there what they mean on new rows
+    # the lexicon comes from half of the rows, so that its hits mean to the trees what they mean on new rows; a quarter is kept for calibration
     part = (odd >> np.uint64(20)) % np.uint64(4)
     trees = BoostedTrees.fit(x[part != 0], y[part != 0], rounds=60, depth=3, rate=0.15, seed=seed)
     held = part == 0
     knots = isotonic_fit(trees.margin(x[held]), y[held]) if 0 < y[held].sum() < held.sum() else (np.array([-8.0, 8.0]), np.array([0.0, 1.0]))
-    # The lexicon for scoring is counted on all training rows; odds keep their meaning, coverage grows.
     return ToxicityModel(lexicon, trees, knots)
 
 
