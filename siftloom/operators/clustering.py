@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MISC = -999_999
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Where the cluster names no folder in spark.checkpoint.dir (tests), a temporary one."""
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp())
+
+
 def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that is reachable over edges (i, j); nodes without edges are their own.
 
     Labels fall to the neighbourhood's least and then jump to their label's label, so chains shorten by doubling; each round is
     checkpointed in the folder of spark.checkpoint.dir.
     """
+    ensure_checkpoint_dir(edges.sparkSession)
     both = edges.where("i <> j").select(F.col("i").alias("u"), F.col("j").alias("v"))
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     now = nodes.select("node", F.col("node").alias("label")).checkpoint()

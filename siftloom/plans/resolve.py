@@ -36,6 +36,7 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
 def resolve_names(counts: DataFrame, constraints: DataFrame | None = None, reviewed: DataFrame | None = None, history: DataFrame | None = None, previous: verifier.Verifier | None = None, encoder=None, zero_cosine_feedback: bool = True) -> Resolution:
     """Cluster the names of (name, cnt, first_pos). reviewed: (cluster, label) rows; history: labelled feature rows of earlier runs."""
     spark = counts.sparkSession
+    clustering.ensure_checkpoint_dir(spark)
     table = names.described(names.vocabulary(counts)).checkpoint()
     n = table.count()
     constraints = constraints if constraints is not None else _empty(spark, "kind string, a string, b string")

@@ -424,21 +424,12 @@ c AS (SELECT node, min(hit) AS component FROM reach GROUP BY 1) """
 
 def must_edges(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    _checkpoints(spark)
+    clustering.ensure_checkpoint_dir(spark)
     top = part.agg(F.max("p_partkey")).first()[0]
     edges = part.where("p_size % 4 = 0").select(F.col("p_partkey").alias("i"), (F.col("p_partkey") + 1 + F.col("p_size") % 3).alias("j")).where(F.col("j") <= F.lit(top))
     return part.select(F.col("p_partkey").alias("node")), edges
 
 
-def _checkpoints(spark):
-    """Where the cluster names no folder (tests), a temporary one."""
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp())
-
-
 @query(MUST_SQL + "SELECT node, component FROM c")
 def must_components(spark, sf_dir):
     return clustering.must_components(*must_edges(spark, sf_dir))
@@ -451,7 +442,7 @@ def cluster_ids(spark, sf_dir):
 
 @query()
 def cluster_no_chaining(spark, sf_dir):
-    _checkpoints(spark)
+    clustering.ensure_checkpoint_dir(spark)
     p = Pairs(spark, sf_dir)
     links = feedback.constraints_to_ids(constraint_store(spark, sf_dir, p), p.names).checkpoint()
     return clustering.cluster_no_chaining(p.names.select(F.col("name_id").alias("node")), p.scored().checkpoint(), 0.7, links.where("kind = 'must'").select("i", "j"), links.where("kind = 'cannot'").select("i", "j"))
@@ -535,7 +526,7 @@ def resolve_names(spark, sf_dir):
     """Whole clustering of part names and their initials, with the reviewed clusters as feedback."""
     from siftloom.plans.resolve import resolve_names as resolve
 
-    _checkpoints(spark)
+    clustering.ensure_checkpoint_dir(spark)
     base = names.name_counts(table(spark, sf_dir, "part"), "p_name", F.col("p_partkey"))
     short = base.groupBy(text.acronym(F.split("name", " "), False).alias("name")).agg(F.sum("cnt").alias("cnt"), (F.min("first_pos") + 1000000000).alias("first_pos"))
     found = resolve(base.unionByName(short), reviewed=reviews(spark, sf_dir).select("cluster", "label"))
