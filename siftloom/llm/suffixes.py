@@ -263,9 +263,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rang
     total = flagged.agg(F.sum(F.col("hi") - F.col("lo") + length), F.count("*")).first()
     size, n = int(total[0] or 0), int(total[1])
     ranges = max(parts(spark), -(-size // range_bytes)) if n else 1
-    # splitters from a sample of fixed size per range
-    sample = flagged.orderBy(F.xxhash64("f1", "lo", F.lit(3))).limit(min(64 * ranges, 200_000)).select("gram").toPandas()["gram"].to_numpy(np.int64)
-    sample.sort()
+    # splitters from about 64 suffixes per range, 200,000 at most, chosen by hash
+    one_in = max(1, n // min(64 * ranges, 200_000))
+    sample = flagged.where(F.pmod(F.xxhash64("f1", "lo", F.lit(3)), F.lit(one_in)) == 0).select("gram").toPandas()["gram"].to_numpy(np.int64)
+    sample = np.sort(sample)
     splitters = sample[np.linspace(0, len(sample) - 1, ranges + 1)[1:-1].astype(np.int64)] if len(sample) and ranges > 1 else np.zeros(0, np.int64)
     wanted = flagged.groupBy("f1", "f2").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs"))
     bitmap = spark.sparkContext.broadcast(key_bitmap(flagged.select("f1")))
