@@ -61,6 +61,14 @@ def test_near_duplicates(spark, small):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, linked(rows)))
 
 
+def test_long_near_copies(spark):
+    """Two texts that share more than 65,536 prefix tokens are still linked."""
+    words = [f"w{i}" for i in range(300_100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150_000], "changed", *words[150_001:]])), (3, "another text of a few words")]
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(linked(rows))
+
+
 def test_keep_one(spark):
     rows = sample()
     docs = frame(spark, rows)
