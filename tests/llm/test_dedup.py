@@ -77,6 +77,25 @@ def test_keep_one(spark):
     assert {r["doc_id"] for r in left.collect()} == want and left.columns == docs.columns
 
 
+def test_keep_one_of_repeated_rows_and_null_ids(spark):
+    """One row of each component passes stage 2 and keeps its text in stage 3, whatever its id and however often the row occurs."""
+    import random
+
+    rng = random.Random(5)
+    text = [prose(rng, 120) for _ in range(6)]
+    rows = [(1, text[0]), (1, text[0]), (2, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (None, text[2] + " end"), (None, text[3]), (3, text[3]), (4, text[4]), (4, text[5]), (0, text[5]), (None, " "), (None, None), (9, ""), (9, "")]
+    docs = frame(spark, rows)
+    left = jaccard.keep_one(docs)
+    assert left.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    either = [k for k in ((None, text[2]), (None, text[2] + " end")) if got[k]]
+    assert len(either) == 1
+    want = Counter([(1, text[0]), (None, text[1]), either[0], (3, text[3]), (4, text[4]), (0, text[5]), (None, " "), (None, None), (9, ""), (9, "")])
+    assert got == want
+    after = suffixes.cleaned(left.select("doc_id", "text", "lang", "source", "n_chars"))
+    assert Counter((r["doc_id"], r["text"]) for r in after.collect()) == want
+
+
 def test_no_rows(spark):
     assert jaccard.near_duplicates(frame(spark).limit(0)).count() == 0
     assert suffixes.digest(frame(spark).limit(0)).count() == 0
