@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +33,9 @@ CAPACITY = 2048
 #: The tokenizer's split rule, as its file states it.
 SPLIT_RULE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A space between white space, or behind it at the end of the text.
+INNER_SPACE = re.compile(r" (?<=\s )(?:\s|\Z)")
+
 
 def byte_alphabet() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on."""
@@ -57,8 +61,9 @@ class ChunkIds(dict):
 class Tokenizer:
     """Byte-level BPE of a tokenizers JSON file; a word's ids are computed once per worker and then looked up.
 
-    Splitting at single spaces never cuts a pre-token, since the rule lets a space only begin one, or end a run of
-    white space; texts with two adjacent spaces, or with an added token in them, go to the encoder whole.
+    Splitting at a space never cuts a pre-token where white space stands on one side of it at most: it then begins a pre-token.
+    A space between white space, or behind it at the end, may lie inside of one; such texts, those with two adjacent
+    spaces and those with an added token in them go to the encoder whole.
     """
 
     def __init__(self, path: str):
@@ -77,7 +82,7 @@ class Tokenizer:
     def ids(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return array("I", self.fast.encode(text, add_special_tokens=False).ids).tobytes()
-        if "  " in text:
+        if "  " in text or INNER_SPACE.search(text):
             return array("I", self.plain(text)).tobytes()
         first, *rest = text.split(" ")
         head = array("I", self.plain(first)).tobytes() if first else b""

@@ -77,6 +77,21 @@ def test_packing(spark):
     assert packing.pack(frame(spark).limit(0), path).count() == 0
 
 
+def test_ids_of_mixed_white_space():
+    """A space inside a run of other white space is not a place to split at."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    ours, full = packing.Tokenizer(path), Tokenizer.from_file(path)
+    rng = random.Random(6)
+    texts = ["a \u00a0 \u00a0 b", "price: \u00a0 \u00a0 \u00a0 5", "\u00a0 \u00a0", "end \u00a0 "]
+    texts += ["".join(rng.choice([" ", " ", "\u00a0", "\n", "\t", "\u2003", "\u0085", "a", "7", "it's", "-", "é"]) for _ in range(rng.randrange(1, 14))) for _ in range(5000)]
+    for t in texts:
+        assert np.frombuffer(ours.ids(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 700, 300)
