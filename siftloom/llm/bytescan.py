@@ -39,17 +39,17 @@ def powers(n: int, inverse: bool) -> np.ndarray:
     """BASE**i, or its inverse modulo 2**64, for i up to n at least; one table of each kind is kept, the longest so far."""
     if inverse not in _POWERS or len(_POWERS[inverse]) <= n:
         base = int(BASE) if not inverse else pow(int(BASE), -1, 1 << 64)
-        out = np.full((1 << max(16, int(n).bit_length())) + 1, base, np.uint64)
+        out = np.full(max(1 << 16, int(n) + (int(n) >> 3)) + 1, base, np.uint64)
         out[0] = 1
         _POWERS[inverse] = np.multiply.accumulate(out, out=out)
     return _POWERS[inverse]
 
 
 class Hasher:
-    """Hash of any byte range of a buffer in constant time after one pass."""
+    """Hash of any range of a buffer of bytes, or of 64-bit tokens, in constant time after one pass."""
 
     def __init__(self, buf: np.ndarray, fold: bool = False):
-        terms = (FOLDED_CODES if fold else CODES)[buf]
+        terms = buf.copy() if buf.dtype == np.uint64 else (FOLDED_CODES if fold else CODES)[buf]
         terms *= powers(len(buf), False)[: len(buf)]
         self.sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, partitions: int, column: str) -> DataFrame:
+    """As cut, dealt by a column into partitions that later plans know of, so that they group by it without another shuffle.
+
+    Only a plan that isn't adaptive hands its partitioning on to what is read back.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    dealt = df.repartition(partitions, column)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(dealt)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced; else they stay until the driver happens to collect garbage."""
     gc.collect()
@@ -61,7 +77,7 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
 
-def text_slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, name: str, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Split a batch so that each part holds about `limit` bytes of text (one longer text is a part alone).
 
     Yields (first row, row behind the last, bytes, offsets); null texts are empty.
@@ -89,6 +105,38 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task with what it has, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def trimmed(run: Callable) -> Callable:
+    """An Arrow iterator function that returns its memory when its partition ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def trimmed_groups(run: Callable, least: int = 1 << 20) -> Callable:
+    """An Arrow group function that returns its memory after groups of `least` bytes or more."""
+
+    def wrapped(table):
+        out, size = run(table), table.nbytes
+        if size >= least:
+            del table
+            give_back()
+        return out
+
+    return wrapped
+
+
 BITMAP_BITS = 1 << 25
 
 
