@@ -25,39 +25,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import bytescan as bs
-from siftloom.llm.common import batch_of, cut, free_shuffles, in_bitmap, key_bitmap, parts, scratch, text_slices
+from siftloom.llm.common import batch_of, cut, free_shuffles, in_bitmap, key_bitmap, parts, scratch, text_slices, trimmed, trimmed_groups
 
 LENGTH, GRAM, BLOCK = 400, 128, 64
 U = np.uint64
-PLACE_BITS = 22
+GROUP_STEP = U(0xD1342543DE82EF95)
+PLACE_BITS = 18
+#: Bytes of text that one numpy pass takes at a time.
+SLICE = 1 << 16
+#: Passages of over fifty words are found by the least 13-word gram of each window.
+WORDS, WORD_GRAM = 51, 13
 
 
-def window_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor's gram, anchor, first window start, last window start) for each run of windows with one anchor."""
+def window_anchors(sequence: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the anchor's gram, anchor, first window start, last window start) for each run of windows with one anchor.
+
+    The sequence is one of bytes, or of 64-bit words.
+    """
     out: list[tuple[np.ndarray, ...]] = []
+    owners = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     step = 1 << (PLACE_BITS - 1)
-    for begin in range(0, max(1, len(buf) - length + 1), step):
-        part = buf[begin : begin + step + length - 1]
+    low = U((1 << PLACE_BITS) - 1)
+    width = length - gram + 1
+    for begin in range(0, max(1, len(sequence) - length + 1), step):
+        part = sequence[begin : begin + step + length - 1]
         if len(part) < length:
             break
         hasher = bs.Hasher(part)
         starts = np.arange(len(part) - gram + 1)
         grams = hasher.of(starts, starts + gram)
-        low = U((1 << PLACE_BITS) - 1)
-        keys = (grams & ~low) | (low - starts.astype(U))
-        width = length - gram + 1
-        padded = np.full(-(-len(keys) // width) * width, U(0xFFFFFFFFFFFFFFFF))
-        padded[: len(keys)] = keys
+        del hasher
+        padded = np.full(-(-len(grams) // width) * width, U(0xFFFFFFFFFFFFFFFF))
+        np.bitwise_and(grams, ~low, out=padded[: len(grams)])
+        padded[: len(grams)] |= low - starts.astype(U)
         blocks = padded.reshape(-1, width)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        windows = np.arange(len(part) - length + 1)
-        least = np.minimum(behind[windows], ahead[windows + width - 1])
-        text = bs.owner(offsets, windows + begin)
-        inside = windows + begin + length <= offsets[text + 1]
-        windows, least, text = windows[inside], least[inside], text[inside]
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        n = len(part) - length + 1
+        least = np.minimum(behind[:n], ahead[width - 1 : n + width - 1])
+        del blocks, padded, behind, ahead
+        text = owners[begin : begin + n]
+        inside = np.arange(begin + length, begin + length + n) <= offsets[text + 1]
+        windows = np.flatnonzero(inside)
         if not len(windows):
             continue
+        least, text = least[windows], text[windows]
         anchor = (low - (least & low)).astype(np.int64)
         new = np.ones(len(windows), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
@@ -69,41 +81,53 @@ def window_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, g
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def word_sequence(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit words, offsets of the texts' words, first byte and end of each word)."""
+    start, end = bs.words(buf, offsets)
+    return bs.Hasher(buf).of(start, end), np.searchsorted(start, offsets), start, end
+
+
 def base_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, f1, f2, text): a text is known by two hashes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("f1"), F.xxhash64(F.lit(29), text).alias("f2"), text.alias("text"))
 
 
-def anchor_table(base: DataFrame, path: str, length: int, gram: int) -> DataFrame:
-    """Written as Parquet: (doc_id, f1, f2, n, runs array<struct<gram, lo, hi>>) of every row."""
+def anchor_table(base: DataFrame, path: str, length: int, gram: int, words: int) -> DataFrame:
+    """Written as Parquet: (doc_id, f1, f2, n, runs, word_runs) of every row, the last two array<struct<gram, lo, hi>>."""
     item = pa.struct([("gram", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("runs", pa.list_(item))])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "f1", "f2", "n")), ("runs", pa.list_(item)), ("word_runs", pa.list_(item))])
+
+    def listed(sequence: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> pa.Array:
+        grams, _, first, last = window_anchors(sequence, offsets, length, gram)
+        text = bs.owner(offsets, first)
+        bounds = np.searchsorted(text, np.arange(len(offsets))).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), pa.array((first - offsets[text]).astype(np.int32)), pa.array((last - offsets[text]).astype(np.int32))], fields=list(item))
+        return pa.ListArray.from_arrays(pa.array(bounds), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in text_slices(batch, "text", 1 << 20):
-                grams, _, first, last = window_anchors(buf, offsets, length, gram)
-                text = bs.owner(offsets, first)
-                bounds = np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), pa.array((first - offsets[text]).astype(np.int32)), pa.array((last - offsets[text]).astype(np.int32))], fields=list(item))
-                yield batch_of(schema, [*(batch.column(i).slice(lo, hi - lo) for i in range(3)), np.diff(offsets), pa.ListArray.from_arrays(pa.array(bounds), values)])
-
-    base.mapInArrow(run, "doc_id long, f1 long, f2 long, n long, runs array<struct<gram:long,lo:int,hi:int>>").write.parquet(path)
+            for lo, hi, buf, offsets in text_slices(batch, "text", SLICE):
+                sequence, word_offsets, *_ = word_sequence(buf, offsets)
+                lists = listed(buf, offsets, length, gram), listed(sequence, word_offsets, words, WORD_GRAM)
+                yield batch_of(schema, [*(batch.column(i).slice(lo, hi - lo) for i in range(3)), np.diff(offsets), *lists])
+
+    runs = "array<struct<gram:long,lo:int,hi:int>>"
+    base.mapInArrow(trimmed(run), f"doc_id long, f1 long, f2 long, n long, runs {runs}, word_runs {runs}").write.parquet(path)
     return base.sparkSession.read.parquet(path)
 
 
-def pick_rows(base: DataFrame, bitmap) -> DataFrame:
-    """Rows of `base` whose first hash may be in the broadcast bitmap."""
+def pick_rows(base: DataFrame, bitmap, key: str = "f1") -> DataFrame:
+    """Rows of `base` whose key may be in the broadcast bitmap."""
     schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(1).to_numpy())))
+            hit = batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(batch.schema.names.index(key)).to_numpy())))
             if hit.num_rows:
                 yield batch_of(schema, [hit.column(i).cast(schema.field(i).type) for i in range(4)])
 
-    return base.mapInArrow(run, "doc_id long, f1 long, f2 long, text string")
+    return base.mapInArrow(trimmed(run), "doc_id long, f1 long, f2 long, text string")
 
 
 CONTEXT_DDL = "bucket int, dealt boolean, f1 long, f2 long, gram long, lo int, hi int, bytes binary"
@@ -132,7 +156,7 @@ def contexts(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
             if out:
                 yield batch_of(schema, [list(c) for c in zip(*out, strict=True)])
 
-    return rows.mapInArrow(run, CONTEXT_DDL)
+    return rows.mapInArrow(trimmed(run), CONTEXT_DDL)
 
 
 def multikey_equal(hasher: bs.Hasher, starts: np.ndarray, length: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +165,19 @@ def multikey_equal(hasher: bs.Hasher, starts: np.ndarray, length: int, block: in
     The keys are the next `block` bytes; after each key, suffixes that are alone among their equals so far leave the sort.
     """
     order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
+    group = np.zeros(len(starts), U)
     for at in range(0, length, block):
-        key = hasher.raw(starts[order] + at, starts[order] + min(at + block, length))
-        by = np.lexsort((key, group))
-        order, group, key = order[by], group[by], key[by]
+        # equal (group, key) couples get one number; sorting by it keeps groups together
+        key = hasher.raw(starts[order] + at, starts[order] + min(at + block, length)) + group * GROUP_STEP
+        by = np.argsort(key)
+        order, key = order[by], key[by]
         new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
         alone = np.bincount(group, minlength=len(order))[group] == 1 if len(order) else np.zeros(0, bool)
-        order, group = order[~alone], group[~alone]
-    return order, group
+        order, group = order[~alone], group[~alone].astype(U)
+    by = np.lexsort((order, group))
+    return order[by], group[by]
 
 
 SPAN_DDL = "f1 long, f2 long, starts binary, ends binary, hashes binary, first binary, bucket int"
@@ -211,7 +237,7 @@ def sort_ranges(frame: DataFrame, length: int, boundary_buckets: int) -> DataFra
                 out.append(batch_of(SPAN_SCHEMA, [[None], [None], [who.tobytes()], [None], [h[at].tobytes()], [None], [k]]))
         return pa.Table.from_batches(out, schema=SPAN_SCHEMA)
 
-    return frame.groupBy("bucket").applyInArrow(run, SPAN_DDL)
+    return frame.groupBy("bucket").applyInArrow(trimmed_groups(run), SPAN_DDL)
 
 
 def across_boundaries(sent: DataFrame, length: int) -> DataFrame:
@@ -231,7 +257,7 @@ def across_boundaries(sent: DataFrame, length: int) -> DataFrame:
         n = len(rec)
         return pa.Table.from_batches([batch_of(SPAN_SCHEMA, [texts[0][rec], texts[1][rec], [x.tobytes() for x in first.astype(np.int32)], [x.tobytes() for x in (last + length).astype(np.int32)], pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), np.full(n, -1, np.int32)])])
 
-    return sent.groupBy("bucket").applyInArrow(run, SPAN_DDL)
+    return sent.groupBy("bucket").applyInArrow(trimmed_groups(run), SPAN_DDL)
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -245,21 +271,103 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
-    """(base, decisions): decisions has (doc_id, f1, f2, starts, ends) of the rows that lose bytes, spans packed as 32-bit integers, not merged."""
+def twice_found(table: DataFrame, column: str) -> DataFrame:
+    """The distinct runs (f1, f2, gram, lo, hi) whose gram is found at two places, copies of a text being one; the count is cut off first, so that Spark
+    can split the join of a gram that very many texts share."""
+    runs = table.select("f1", "f2", F.explode(column).alias("r")).select("f1", "f2", "r.gram", "r.lo", "r.hi")
+    place = F.xxhash64("f1", "f2", "lo", "hi")
+    twice = cut(runs.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram"))
+    return cut(runs.join(twice, "gram").distinct())
+
+
+def shared_windows(texts: DataFrame, words: int, buckets: int) -> DataFrame:
+    """The windows of flagged runs that the removed spans leave, packed by a bucket of their hash. texts: (f1, f2, text, runs, starts, ends)."""
+    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "f1", "f2", "starts", "ends"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            for f1, f2, text, runs, starts, ends in zip(*(batch.column(i) for i in range(6)), strict=True):
+                buf = np.frombuffer(text.as_buffer(), np.uint8)
+                sequence, _, first, end = word_sequence(buf, np.array([0, len(buf)]))
+                at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs.as_py()]))
+                a, b = first[at], end[at + words - 1]
+                if starts.is_valid:
+                    spans = np.array(merge_spans(*(np.frombuffer(b"".join(x.as_py()), np.int32) for x in (starts, ends))), np.int64).reshape(-1, 2)
+                    if len(spans):
+                        k = np.maximum(np.searchsorted(spans[:, 0], a, "right") - 1, 0)
+                        inside = (spans[k, 0] <= a) & (b <= spans[k, 1])
+                        at, a, b = at[~inside], a[~inside], b[~inside]
+                own = np.ones(len(at), np.int64)
+                held.append((bs.Hasher(sequence).of(at, at + words), own * f1.as_py(), own * f2.as_py(), a.astype(np.int32), b.astype(np.int32)))
+            if held:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                bucket = (columns[0] % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else []
+                pieces = [order[i:j] for i, j in zip(bounds, np.r_[bounds[1:], len(order)] if len(order) else [], strict=True)]
+                yield batch_of(schema, [[int(bucket[p[0]]) for p in pieces], *([c[p].tobytes() for p in pieces] for c in columns)])
+
+    return texts.mapInArrow(trimmed(run), "bucket long, hashes binary, f1 binary, f2 binary, starts binary, ends binary")
+
+
+def passages(windows: DataFrame) -> DataFrame:
+    """(f1, f2, starts, ends) of the windows that more than one text has."""
+    schema = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = {"hashes": U, "f1": np.int64, "f2": np.int64, "starts": np.int32, "ends": np.int32}
+        h, f1, f2, a, b = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in kinds.items())
+        order = np.lexsort((f2, f1, h))
+        h, f1, f2, a, b = (x[order] for x in (h, f1, f2, a, b))
+        if not len(h):
+            return schema.empty_table()
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        ends = np.r_[starts[1:], len(h)] - 1
+        several = (f1[starts] != f1[ends]) | (f2[starts] != f2[ends])
+        hit = np.repeat(several, ends - starts + 1)
+        f1, f2, a, b = (x[hit] for x in (f1, f2, a, b))
+        by = np.lexsort((a, f2, f1))
+        f1, f2, a, b = (x[by] for x in (f1, f2, a, b))
+        if not len(f1):
+            return schema.empty_table()
+        bounds = np.flatnonzero(np.r_[True, (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])])
+        pieces = list(zip(bounds, np.r_[bounds[1:], len(f1)], strict=True))
+        return pa.table([f1[bounds], f2[bounds], pa.array([a[i:j].tobytes() for i, j in pieces], pa.binary()), pa.array([b[i:j].tobytes() for i, j in pieces], pa.binary())], schema=schema)
+
+    return windows.groupBy("bucket").applyInArrow(trimmed_groups(run), "f1 long, f2 long, starts binary, ends binary")
+
+
+def whole(c) -> F.Column:
+    """A number as 32 bits, little-endian."""
+    return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1))))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(base, decisions): decisions has (doc_id, f1, f2, starts, ends, passage_starts, passage_ends) of the rows with repeats.
+
+    starts and ends bound the bytes covered by strings of `length` bytes that occur elsewhere; the others bound passages of `words` words or more that
+    another text has too, as far as the first kind leaves them. Spans are packed as 32-bit integers, not merged.
+    """
     spark = docs.sparkSession
     base = base_rows(docs)
-    table = anchor_table(base, scratch(spark, "anchors"), length, gram)
-    # one text for each group of equal ones
-    classes = table.groupBy("f1", "f2", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    copied = cut(classes.where((F.col("copies") > 1) & (F.col("n") >= length)))
-    # copies of one row can't be told apart; any one of the smallest id's rows stands for them
-    others = table.select("doc_id", "f1", "f2").join(copied.select("f1", "f2", "rep"), ["f1", "f2"]).where(~F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "f1", "f2").distinct().withColumn("other", F.lit(1))
-    rows = table.where(F.size("runs") > 0)
-    same = [rows["f1"] == others["f1"], rows["f2"] == others["f2"], rows["doc_id"].eqNullSafe(others["doc_id"])]
-    singles = rows.join(others, same, "left_anti").select("f1", "f2", F.explode("runs").alias("r")).select("f1", "f2", "r.gram", "r.lo", "r.hi")
-    twice = singles.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    flagged = cut(singles.join(twice, "gram").distinct())
+    table = anchor_table(base, scratch(spark, "anchors"), length, gram, words)
+    # one row for each group of equal texts: that of the smallest id
+    classes = cut(table.groupBy("f1", "f2", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max(F.size("word_runs") > 0).alias("long_words")))
+    copied = classes.where((F.col("copies") > 1) & ((F.col("n") >= length) | F.col("long_words")))
+
+    def flagged_texts(flagged: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+        """(f1, f2, text, runs) of the texts with flagged runs, with starts and ends of `spans`; only these texts are shuffled."""
+        wanted = flagged.groupBy("f1", "f2").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs")).join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
+        wanted = cut(wanted if spans is None else wanted.join(spans, ["f1", "f2"], "left"))
+        own = lambda i: F.xxhash64("f1", F.coalesce(i, F.lit(-1).cast("long")))
+        bitmap = spark.sparkContext.broadcast(key_bitmap(wanted.select(own(F.col("rep")))))
+        texts = pick_rows(base.withColumn("own", own(F.col("doc_id"))), bitmap, "own")
+        same = [texts["f1"] == wanted["f1"], texts["f2"] == wanted["f2"], texts["doc_id"].eqNullSafe(wanted["rep"])]
+        return texts.join(wanted, same).select(texts["f1"], texts["f2"], F.col("text").cast("binary").alias("text"), *(c for c in wanted.columns if c not in ("f1", "f2", "rep")))
+
+    flagged = twice_found(table, "runs")
+    free_shuffles(spark)
     total = flagged.agg(F.sum(F.col("hi") - F.col("lo") + length), F.count("*")).first()
     size, n = int(total[0] or 0), int(total[1])
     ranges = max(parts(spark), -(-size // range_bytes)) if n else 1
@@ -268,46 +376,48 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rang
     sample = flagged.where(F.pmod(F.xxhash64("f1", "lo", F.lit(3)), F.lit(one_in)) == 0).select("gram").toPandas()["gram"].to_numpy(np.int64)
     sample = np.sort(sample)
     splitters = sample[np.linspace(0, len(sample) - 1, ranges + 1)[1:-1].astype(np.int64)] if len(sample) and ranges > 1 else np.zeros(0, np.int64)
-    wanted = flagged.groupBy("f1", "f2").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs"))
-    bitmap = spark.sparkContext.broadcast(key_bitmap(flagged.select("f1")))
-    texts = pick_rows(base, bitmap)
-    same = [texts["f1"] == others["f1"], texts["f2"] == others["f2"], texts["doc_id"].eqNullSafe(others["doc_id"])]
-    texts = texts.join(others, same, "left_anti").join(wanted, ["f1", "f2"]).select("f1", "f2", F.col("text").cast("binary").alias("text"), "runs")
-    found = cut(sort_ranges(contexts(texts, splitters, length), length, max(8, ranges)))
+    found = cut(sort_ranges(contexts(flagged_texts(flagged), splitters, length), length, max(8, ranges)))
     free_shuffles(spark)
     spans = found.where("bucket = -1").unionByName(across_boundaries(found.where("bucket >= 0"), length)).select("f1", "f2", "starts", "ends")
-    whole = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1))))  # noqa: E731  little-endian
-    all_of = copied.select("f1", "f2", whole(F.lit(0)).alias("starts"), whole(F.col("n")).alias("ends"))
-    spans = spans.join(copied.select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(all_of)
-    joined = spans.groupBy("f1", "f2").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    decisions = table.select("doc_id", "f1", "f2").distinct().join(joined, ["f1", "f2"])
-    return base, cut(decisions)
+    all_of = lambda rows: rows.select("f1", "f2", whole(F.lit(0)).alias("starts"), whole(F.col("n")).alias("ends"))
+    spans = cut(spans.join(copied.where(F.col("n") >= length).select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(all_of(copied.where(F.col("n") >= length))))
+    joined = cut(spans.groupBy("f1", "f2").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
+    free_shuffles(spark)
+    # passages of words: the windows that the spans leave
+    windows = shared_windows(flagged_texts(twice_found(table, "word_runs"), joined), words, max(parts(spark), -(-size // (8 * range_bytes))))
+    short = copied.where(F.col("n") < length)
+    shared = cut(passages(windows).join(short.select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(all_of(short)))
+    free_shuffles(spark)
+    shared = shared.groupBy("f1", "f2").agg(F.collect_list("starts").alias("passage_starts"), F.collect_list("ends").alias("passage_ends"))
+    both = joined.join(shared, ["f1", "f2"], "full")
+    return base, cut(table.select("doc_id", "f1", "f2").distinct().join(both, ["f1", "f2"]))
 
 
-def apply_spans(base: DataFrame, decisions: DataFrame, ddl: str, schema: pa.Schema, make) -> DataFrame:
-    """make(doc_id, bytes, merged spans) as rows, for every row of `base`; only texts that may lose bytes are shuffled."""
-    bitmap = base.sparkSession.sparkContext.broadcast(key_bitmap(decisions.select("f1")))
+def span_list(starts: pa.Scalar, ends: pa.Scalar) -> np.ndarray:
+    """Packed spans as rows of (start, end)."""
+    return np.stack([np.frombuffer(b"".join(x.as_py()), np.int32) if x.is_valid else np.zeros(0, np.int32) for x in (starts, ends)], axis=1)
 
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.filter(pa.array(~in_bitmap(bitmap.value, batch.column(1).to_numpy())))
-            rows = [make(i.as_py(), t.as_buffer().to_pybytes(), []) for i, t in zip(rest.column(0), rest.column(3), strict=True)]
-            if rows:
-                yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
 
-    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def changed_rows(base: DataFrame, decisions: DataFrame, ddl: str, schema: pa.Schema, make, columns: tuple[str, ...] = ("doc_id", "f1", "f2")) -> DataFrame:
+    """make(kept columns, bytes, removed spans, spans of either kind) as rows, for the rows of `base` that `decisions` names; no other text is shuffled."""
+    bitmap = base.sparkSession.sparkContext.broadcast(key_bitmap(decisions.select("f1")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = batch.schema.names
+            text, *ends = (batch.column(names.index(c)) for c in ("text", "starts", "ends", "passage_starts", "passage_ends"))
             rows = []
-            for i, text, starts, ends in zip(*(batch.column(c) for c in range(4)), strict=True):
-                spans = merge_spans(*(np.frombuffer(b"".join(x.as_py()), np.int32) for x in (starts, ends))) if starts.is_valid else []
-                rows.append(make(i.as_py(), text.as_buffer().to_pybytes(), spans))
+            for i in range(batch.num_rows):
+                removed, shared = span_list(ends[0][i], ends[1][i]), span_list(ends[2][i], ends[3][i])
+                either = np.concatenate([removed, shared])
+                rows.append(make([batch.column(k)[i].as_py() for k in range(len(columns))], text[i].as_buffer().to_pybytes(), merge_spans(*removed.T), merge_spans(*either.T)))
             if rows:
                 yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
 
     hit = pick_rows(base, bitmap)
     same = [hit["f1"] == decisions["f1"], hit["f2"] == decisions["f2"], hit["doc_id"].eqNullSafe(decisions["doc_id"])]
-    hit = hit.join(decisions, same, "left").select(hit["doc_id"], hit["text"], "starts", "ends")
-    return base.mapInArrow(untouched, ddl).unionByName(hit.mapInArrow(changed, ddl))
+    hit = hit.join(decisions, same).select(*(hit[c] for c in (*columns, "text")), "starts", "ends", "passage_starts", "passage_ends")
+    return hit.mapInArrow(trimmed(run), ddl)
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -318,56 +428,63 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated) of every row.
 
-    def make(i, data, spans):
-        return i, len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(data, spans) if spans else data).hexdigest()
+    n_repeated counts the bytes of repeats of either kind: those removed, and those of passages of `words` words or more that another text has too.
+    """
+    names = ["doc_id", "f1", "f2", "n_removed", "n_spans", "kept", "n_repeated"]
+    schema = pa.schema([(c, pa.string() if c == "kept" else pa.int64()) for c in names])
+    total = lambda spans: sum(b - a for a, b in spans)
 
-    base, decisions = repeated_spans(docs, length, gram, range_bytes)
-    return apply_spans(base, decisions, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", schema, make)
+    def make(own, data, removed, either):
+        return *own, total(removed), len(removed), hashlib.sha256(kept_bytes(data, removed)).hexdigest(), total(either)
 
+    base, decisions = repeated_spans(docs, length, gram, range_bytes, words)
+    changed = cut(changed_rows(base, decisions, "doc_id long, f1 long, f2 long, n_removed long, n_spans long, kept string, n_repeated long", schema, make).distinct())
+    data = F.col("text").cast("binary")
+    rows = base.select("doc_id", "f1", "f2", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
+    same = [rows["f1"] == changed["f1"], rows["f2"] == changed["f2"], rows["doc_id"].eqNullSafe(changed["doc_id"])]
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.join(changed, same, "left").select(rows["doc_id"], "n_bytes", none("n_removed"), none("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"), none("n_repeated"))
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang, source, n_chars) without repeated passages.
+
+def cleaned(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, source, n_chars) without repeats of either kind.
 
     Bytes of characters that a passage's edge cuts go as well; n_chars is counted anew where a text changed; a text may lose all its bytes, its row stays.
     """
-    _, decisions = repeated_spans(docs, length)
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(decisions.select("f1")))
+    base, decisions = repeated_spans(docs, length, words=words)
+    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("new", pa.string())])
+
+    def make(own, data, removed, either):
+        return *own, kept_bytes(data, either).decode("utf-8", "ignore")
+
+    changed = cut(changed_rows(base, decisions, "doc_id long, f1 long, f2 long, new string", schema, make).distinct())
+    free_shuffles(docs.sparkSession)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("f1"), "text", "lang", "source", "n_chars", F.xxhash64(F.lit(29), text).alias("f2"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars", F.xxhash64(text).alias("f1"), F.xxhash64(F.lit(29), text).alias("f2"))
+    touched = may_hold(docs.sparkSession.sparkContext.broadcast(key_bitmap(changed.select("f1"))))
+    plain = rows.mapInArrow(touched(False), rows.schema).select(*columns)
+    hit = rows.mapInArrow(touched(True), rows.schema)
+    same = [hit["f1"] == changed["f1"], hit["f2"] == changed["f2"], hit["doc_id"].eqNullSafe(changed["doc_id"])]
+    length_of = F.when(F.col("new").isNull(), F.col("n_chars")).otherwise(F.char_length("new")).alias("n_chars")
+    hit = hit.join(changed, same, "left").select(hit["doc_id"], F.coalesce("new", "text").alias("text"), "lang", "source", length_of.cast("long").alias("n_chars"))
+    return plain.unionByName(hit)
+
 
-    def split(touched: bool):
+def may_hold(bitmap):
+    """Filters of rows (second column: first hash) by whether the bitmap may hold them."""
+
+    def side(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(1).to_numpy()) == touched))
+                yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(batch.schema.names.index("f1")).to_numpy()) == wanted))
 
-        return run
+        return trimmed(run)
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            text, starts, ends = (batch.column(names.index(c)) for c in ("text", "starts", "ends"))
-            new = []
-            for t, a, b in zip(text, starts, ends, strict=True):
-                if not a.is_valid:
-                    new.append(t.as_py())
-                    continue
-                spans = merge_spans(*(np.frombuffer(b"".join(x.as_py()), np.int32) for x in (a, b)))
-                new.append(kept_bytes(t.as_buffer().to_pybytes() if t.is_valid else b"", spans).decode("utf-8", "ignore"))
-            chars = [n.as_py() if not a.is_valid else len(t) for n, a, t in zip(batch.column(names.index("n_chars")), starts, new, strict=True)]
-            columns = {"doc_id": batch.column(names.index("doc_id")), "text": pa.array(new, pa.string()), "lang": batch.column(names.index("lang")), "source": batch.column(names.index("source")), "n_chars": pa.array(chars, pa.int64())}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    ddl = "doc_id long, text string, lang string, source string, n_chars long"
-    plain = rows.mapInArrow(split(False), rows.schema).select(*columns)
-    hit = rows.mapInArrow(split(True), rows.schema)
-    same = [hit["f1"] == decisions["f1"], hit["f2"] == decisions["f2"], hit["doc_id"].eqNullSafe(decisions["doc_id"])]
-    hit = hit.join(decisions, same, "left").select(*(hit[c] for c in columns), "starts", "ends")
-    return plain.unionByName(hit.mapInArrow(strip, ddl))
+    return side
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
