@@ -15,6 +15,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,17 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import bytescan as bs
-from siftloom.llm.common import batch_of, text_slices
+from siftloom.llm.common import batch_of, text_slices, trimmed
 from siftloom.llm.packing import byte_alphabet, default_tokenizer
 
 
 SHORT, TAIL = 12, 8
+#: Words of more bytes share no prefix worth a trie level; each gets one forward pass over an automaton of the pieces.
+LONG = 64
 
 
 class Pieces:
     """Vocabulary by hash: sorted hashes with scores, and the lengths that occur."""
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray):
+        self.pieces, self.piece_scores, self.machine = pieces, np.asarray(scores, float).tolist(), None
         offsets = np.cumsum([0] + [len(p) for p in pieces]).astype(np.int64)
         keys = bs.Hasher(np.frombuffer(b"".join(pieces), np.uint8)).of(offsets[:-1], offsets[1:])
         order = np.argsort(keys)
@@ -50,6 +54,29 @@ class Pieces:
         return np.where(self.keys[at] == keys, self.scores[at], -np.inf)
 
 
+    def automaton(self):
+        """Finds all pieces of a byte string, read as Latin-1, in one pass; built when the first long word comes."""
+        if self.machine is None:
+            import ahocorasick
+
+            self.machine = ahocorasick.Automaton()
+            for piece, score in zip(self.pieces, self.piece_scores, strict=True):
+                if piece:
+                    self.machine.add_word(piece.decode("latin-1"), (len(piece), score))
+            self.machine.make_automaton()
+        return self.machine
+
+    def forward(self, word: bytes) -> tuple[int, float]:
+        """(pieces, score) of the best segmentation, in time linear in the word's length."""
+        best, count = [-math.inf] * (len(word) + 1), [0] * (len(word) + 1)
+        best[0] = 0.0
+        for end, (size, own) in self.automaton().iter(word.decode("latin-1")):
+            score, fewer = own + best[end + 1 - size], count[end + 1 - size] + 1
+            if score > best[end + 1] or (score == best[end + 1] and fewer < count[end + 1]):
+                best[end + 1], count[end + 1] = score, fewer
+        return count[-1], best[-1]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Pieces:
     with open(path, encoding="utf-8") as f:
@@ -65,7 +92,10 @@ def trie_counts(buf: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pie
     hasher = bs.Hasher(buf)
     size = end - start
     tokens, total = np.zeros(len(start), np.int64), np.zeros(len(start))
+    for i in np.flatnonzero(size > LONG).tolist():
+        tokens[i], total[i] = pieces.forward(buf[start[i] : end[i]].tobytes())
     order = np.argsort(size, kind="stable")
+    order = order[size[order] <= LONG]
     longest = pieces.longest
     # per level: forward scores, counts, and each node's parent on the level before; the last `longest` levels are enough
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -148,10 +178,10 @@ def token_counts(docs: DataFrame, path: str, most: int = 1_000_000) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = WordStore(vocabulary(path), most)
         for batch in batches:
-            for lo, hi, buf, offsets in text_slices(batch, "text"):
+            for lo, hi, buf, offsets in text_slices(batch, "text", 1 << 20):
                 yield batch_of(schema, [batch.column(0).slice(lo, hi - lo), *store.count(buf, offsets)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, n_pretokens long, n_tokens long, score double")
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
