@@ -10,8 +10,8 @@ of each query. A query whose buckets hold too few points is searched exactly, in
 the cells' width follows the data, by the root mean square distance of all vectors from their mean.
 
 Defined results: vectors that are null, zero, or of another length than most, or that hold null or non-finite components, take no part, as
-query or candidate; rows with null ids take no part; rows that repeat an id count once per row; a query with fewer candidates than k gets
-all there are; an empty table gives no rows.
+query or candidate; rows with null ids take no part; rows that repeat an id and its vector count once; an id with several vectors is as many
+queries and candidates, and never its own neighbour; a query with fewer candidates than k gets all there are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -112,14 +112,31 @@ INDEX_DDL = "part int, kind int, ids binary, codes binary, vectors binary"
 INDEX = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary()), ("vectors", pa.binary())])
 
 
+def couples(batch: pa.RecordBatch) -> np.ndarray:
+    """(name, tie) of each point: its number, and the smallest id that has the vector, which decides ties."""
+    return np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+
+
+def from_couples(data: pa.Buffer | bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64).reshape(-1, 2)
+
+
+def nearest(points: np.ndarray, score: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `best` nearest of (name, tie) points, each once, ties to the smaller id."""
+    _, first = np.unique(points[:, 0], return_index=True)
+    points, score = points[first], score[first]
+    top = np.lexsort((points[:, 1], score))[:best]
+    return points[top], score[top]
+
+
 def dealt(rows: DataFrame, hashing: Hashing, ranges: int, query: bool) -> DataFrame:
-    """Vectors (or queries, once per range that holds a bucket they visit) packed by range of bucket codes. rows: (id, v)."""
+    """Vectors (or queries, once per range that holds a bucket they visit) packed by range of bucket codes. rows: (name, tie, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                ids, v = part.column(0).to_numpy(), matrix(part.column(1), hashing.dimension)
+                ids, v = couples(part), matrix(part.column(2), hashing.dimension)
                 for t in range(hashing.tables):
                     codes = hashing.probe_codes(v, t) if query else hashing.code(np.floor(hashing.places(v, t)), t)[:, None]
                     range_of = (codes % np.uint64(ranges)).astype(np.int64)
@@ -136,12 +153,12 @@ def dealt(rows: DataFrame, hashing: Hashing, ranges: int, query: bool) -> DataFr
 
 
 def search_ranges(index: DataFrame, queries: DataFrame, hashing: Hashing, best: int) -> DataFrame:
-    """(query, ids, distances): the `best` nearest candidates of each query in each range, packed."""
+    """(query, points, distances): the `best` nearest candidates of each query's point in each range, packed."""
     schema = pa.schema([("query", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
     d = hashing.dimension
 
     def unpack(table: pa.Table, kind: int):
-        part = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["vectors"], np.float64)) for r in table.to_pylist() if r["kind"] == kind]
+        part = [(from_couples(r["ids"]), np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["vectors"], np.float64)) for r in table.to_pylist() if r["kind"] == kind]
         return [np.concatenate(x) if x else np.zeros(0) for x in (zip(*part, strict=True) if part else ([], [], []))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -151,7 +168,8 @@ def search_ranges(index: DataFrame, queries: DataFrame, hashing: Hashing, best:
         if not len(ids) or not len(asked):
             return pa.Table.from_batches([], schema=schema)
         vectors = flat.reshape(-1, d)
-        known, at = np.unique(known, return_index=True)
+        asked = asked[:, 0]
+        known, at = np.unique(known[:, 0], return_index=True)
         given = given.reshape(-1, d)[at]
         order = np.argsort(codes, kind="stable")
         ids, codes, vectors = ids[order], codes[order], vectors[order]
@@ -165,11 +183,8 @@ def search_ranges(index: DataFrame, queries: DataFrame, hashing: Hashing, best:
             q = asked[by[a]]
             rows = np.concatenate([np.arange(begin[i], end[i]) for i in by[a:b]])
             v = given[np.searchsorted(known, q)]
-            found, score = ids[rows], np.sqrt(((vectors[rows] - v) ** 2).sum(axis=1))
-            found, first = np.unique(found, return_index=True)
-            score = score[first]
-            top = np.lexsort((found, score))[:best]
-            out.append((int(q), found[top].tobytes(), score[top].tobytes()))
+            found, score = nearest(ids[rows], np.sqrt(((vectors[rows] - v) ** 2).sum(axis=1)), best)
+            out.append((int(q), found.tobytes(), score.tobytes()))
         return pa.table([list(c) for c in zip(*out, strict=True)], schema=schema) if out else pa.Table.from_batches([], schema=schema)
 
     return index.groupBy("part").cogroup(queries.groupBy("part")).applyInArrow(run, "query long, ids binary, scores binary")
@@ -191,18 +206,17 @@ def exact_ranges(vectors: DataFrame, queries: DataFrame, dimension: int, best: i
         for batch in batches:
             for lo in range(0, batch.num_rows, block):
                 part = batch.slice(lo, block)
-                yield batch_of(pack_schema, [[part.column(0).to_numpy().tobytes()], [matrix(part.column(1), dimension).tobytes()]])
+                yield batch_of(pack_schema, [[couples(part).tobytes()], [matrix(part.column(2), dimension).tobytes()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                asked, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                asked, ids = from_couples(r["qids"])[:, 0], from_couples(r["ids"])
                 q, v = np.frombuffer(r["qvectors"]).reshape(-1, dimension), np.frombuffer(r["vectors"]).reshape(-1, dimension)
                 out = []
                 for k in range(len(asked)):
-                    score = np.sqrt(((v - q[k]) ** 2).sum(axis=1))
-                    top = np.lexsort((ids, score))[:best]
-                    out.append((int(asked[k]), ids[top].tobytes(), score[top].tobytes()))
+                    found, score = nearest(ids, np.sqrt(((v - q[k]) ** 2).sum(axis=1)), best)
+                    out.append((int(asked[k]), found.tobytes(), score.tobytes()))
                 yield batch_of(schema, [list(c) for c in zip(*out, strict=True)])
 
     left = queries.mapInArrow(pack, "ids binary, vectors binary").toDF("qids", "qvectors")
@@ -219,39 +233,37 @@ def search(table: DataFrame, is_query, k: int = 10, hashing: Hashing | None = No
     hashing = hashing or Hashing(int(common["d"]))
     rows = usable(table, hashing.dimension)
     hashing = replace(hashing, scale=hashing.scale * spread(rows))
-    # equal vectors are one point; its members are the k + 1 smallest ids, as no more can be among a query's answers
+    # equal vectors are one point with a number; its members are the k + 1 smallest ids, as no more can be among a query's answers
     keyed = rows.withColumn("key", F.xxhash64("v")).withColumn("key2", F.xxhash64(F.lit(3), "v"))
-    points = keyed.groupBy("key", "key2").agg(F.min("vec_id").alias("id"))
+    each = keyed.select("key", "key2", "vec_id").distinct()
+    points = cut(keyed.groupBy("key", "key2").agg(F.min("vec_id").alias("tie"), F.first("v").alias("v")).withColumn("name", F.monotonically_increasing_id()))
     order = Window.partitionBy("key", "key2", "salt").orderBy("vec_id")
-    least = keyed.select("key", "key2", "vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    least = each.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     order = Window.partitionBy("key", "key2").orderBy("vec_id")
-    members = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("key", "key2", "vec_id").join(points, ["key", "key2"]).select("id", "vec_id")
-    vectors = keyed.join(points, ["key", "key2"]).where(F.col("vec_id") == F.col("id")).dropDuplicates(["id"]).select("id", "v")
-    asked = keyed.where(is_query)
-    ranges = max(parts(spark), -(-rows.count() * hashing.tables * (8 * hashing.dimension + 16) // (24 << 20)))
-    points_asked = asked.join(points, ["key", "key2"]).select(F.col("id").alias("point"), "vec_id")
-    queries = asked.join(points, ["key", "key2"]).select("id", "v").dropDuplicates(["id"])
+    members = least.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).join(points.select("key", "key2", "name"), ["key", "key2"]).select("name", F.col("vec_id").alias("found"))
+    vectors = points.select("name", "tie", "v")
+    points_asked = cut(each.where(is_query).join(points.select("key", "key2", "name"), ["key", "key2"]).select(F.col("name").alias("point"), "vec_id"))
+    queries = vectors.join(points_asked.select(F.col("point").alias("name")).distinct(), "name", "left_semi").select("name", "tie", "v")
+    ranges = max(parts(spark), -(-points.count() * hashing.tables * (8 * hashing.dimension + 16) // (24 << 20)))
     # a point's own other members are neighbours as well, so one more point than k is kept
     found = search_ranges(dealt(vectors, hashing, ranges, False), dealt(queries, hashing, ranges, True), hashing, k + 1)
 
     def merge(part: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column("ids")])
+        ids = np.concatenate([from_couples(x.as_buffer()) for x in part.column("ids")])
         score = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in part.column("scores")])
-        ids, first = np.unique(ids, return_index=True)
-        score = score[first]
-        top = np.lexsort((ids, score))[: k + 1]
-        return pa.table([np.full(len(top), part.column("query")[0].as_py()), ids[top], score[top]], names=["point", "id", "score"])
+        ids, score = nearest(ids, score, k + 1)
+        return pa.table([np.full(len(ids), part.column("query")[0].as_py()), ids[:, 0], score], names=["point", "name", "score"])
 
-    near = cut(found.groupBy("query").applyInArrow(merge, "point long, id long, score double"))
+    near = cut(found.groupBy("query").applyInArrow(merge, "point long, name long, score double"))
     # queries whose buckets hold fewer points than asked for are searched exactly
-    enough = near.groupBy("point").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("point").alias("id"))
-    short = cut(queries.join(enough, "id", "left_anti"))
+    enough = near.groupBy("point").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("point").alias("name"))
+    short = cut(queries.join(enough, "name", "left_anti"))
     if not short.isEmpty():
-        again = exact_ranges(vectors, short, hashing.dimension, k + 1).groupBy("query").applyInArrow(merge, "point long, id long, score double")
-        near = near.join(short.select(F.col("id").alias("point")), "point", "left_anti").unionByName(again)
+        again = exact_ranges(vectors, short, hashing.dimension, k + 1).groupBy("query").applyInArrow(merge, "point long, name long, score double")
+        near = near.join(short.select(F.col("name").alias("point")), "point", "left_anti").unionByName(again)
     # ties at the cut: equal distances of different points are kept to the k + 1 smallest ids, enough after expansion
-    answers = points_asked.join(near, "point").join(members.withColumnRenamed("vec_id", "found"), "id").where(F.col("found") != F.col("vec_id"))
-    rank = Window.partitionBy("vec_id").orderBy("score", "found")
+    answers = points_asked.join(near, "point").join(members, "name").where(F.col("found") != F.col("vec_id"))
+    rank = Window.partitionBy("vec_id", "point").orderBy("score", "found")
     ranked = answers.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select(F.col("vec_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("found").alias("vec_id"), "score")
 
