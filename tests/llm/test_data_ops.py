@@ -103,6 +103,18 @@ def test_crossover_keeps_every_item_once():
     assert best.fitness() >= people[0].fitness()
 
 
+def test_evolution_betters_best_fit():
+    rng = np.random.default_rng(4)
+    won = 0
+    for seed in range(6):
+        lengths = np.random.default_rng(seed).integers(500, 1100, 120)
+        best_fit = packing.evolve(lengths, 2048, [], rng, 1, 0)[0]
+        best = packing.evolve(lengths, 2048, [], rng, 4, 6)[0]
+        assert best.fitness() >= best_fit.fitness()
+        won += len(best.bins) < len(best_fit.bins)
+    assert won >= 2
+
+
 def test_archives(spark, tmp_path):
     rows = [(i, f"http://h/{i}", None if i % 7 == 0 else "x" * (i % 5) + "<html>é") for i in range(120)] + [(None, None, "zz"), (None, "u", "zz"), (3, "again", "xxx<html>é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
@@ -152,6 +164,19 @@ def test_neighbours(spark):
     assert neighbours.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(0, x[0].tolist()), (7, x[7].tolist()), (9, rng.standard_normal(8).astype(np.float32).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, neighbours.search(table, F.col("vec_id") % 100 == 0).collect()))
+    each = sorted({(i, tuple(v)) for i, v in rows})
+    far = sorted((float(np.sqrt(((np.array(v, float) - x[0].astype(float)) ** 2).sum())), i) for i, v in each if i)[:10]
+    assert [(r, v) for _, r, v, _ in got] == [(k + 1, i) for k, (_, i) in enumerate(far)]
+    assert all(abs(s - d) < 1e-12 for (_, _, _, s), (d, _) in zip(got, far, strict=True))
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline

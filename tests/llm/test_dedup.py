@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
-from siftloom.llm import jaccard, suffixes
+from siftloom.llm import bytescan, jaccard, suffixes
 from siftloom.llm.components import components
 from tests.llm.docs import frame, prose, sample
 
@@ -108,26 +110,42 @@ def test_components(spark, local_edges):
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30}
 
 
-def stripped(rows, length):
+def covered(size, spans):
+    mark = np.zeros(size + 1, int)
+    for a, b in spans:
+        mark[a] += 1
+        mark[b] -= 1
+    return np.cumsum(mark)[:-1] > 0
+
+
+def repeats(rows, length, words):
+    """For each row: bytes, those of strings of `length` that start elsewhere too, and those of passages of `words` words that other texts have."""
     data = [(t or "").encode() for _, t in rows]
     seen = Counter(b[p : p + length] for b in data for p in range(len(b) - length + 1))
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    passages = [[(w[k][0], w[k + words - 1][1], tuple(b[x:y] for x, y in w[k : k + words])) for k in range(len(w) - words + 1)] for b, w in zip(data, found, strict=True)]
+    owners = Counter(x for own in passages for x in {x for _, _, x in own})
+    for b, own in zip(data, passages, strict=True):
+        strings = covered(len(b), [(p, p + length) for p in range(len(b) - length + 1) if seen[b[p : p + length]] > 1])
+        yield b, strings, strings | covered(len(b), [(x, y) for x, y, key in own if owners[key] > 1])
+
+
+def stripped(rows, length, words=51):
     out = []
-    for (d, _), b in zip(rows, data, strict=True):
-        mark = np.zeros(len(b) + 1, int)
-        for p in range(len(b) - length + 1):
-            if seen[b[p : p + length]] > 1:
-                mark[p] += 1
-                mark[p + length] -= 1
-        gone = np.cumsum(mark)[:-1] > 0
+    for (d, _), (b, gone, either) in zip(rows, repeats(rows, length, words), strict=True):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int(either.sum())))
     return out
 
 
-@pytest.mark.parametrize("range_bytes", [2 << 20, 3000])
+@pytest.mark.parametrize("range_bytes", [1 << 20, 3000])
 def test_repeats(spark, range_bytes):
+    words = "ab cde f ghij kl mno pqr stuv w xyz".split()
+    short = " ".join(words[(k * 7) % 10] + str(k) for k in range(55))
+    assert len(short) < 400
     rows = sample() + [(500, "ab" * 900), (501, "q" * 401), (502, "é" * 300 + " " + "z" * 100)]
+    rows += [(510, "one " + short + " two"), (511, short.replace(" ", "\n")), (512, short), (513, short), (514, " ".join(short.split()[:50])), (515, "so so " * 60)]
     got = suffixes.digest(frame(spark, rows), range_bytes=range_bytes).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, stripped(rows, 400)))
 
@@ -137,5 +155,33 @@ def test_cleaned_texts(spark):
     docs = frame(spark, rows)
     got = suffixes.cleaned(docs)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"] and got.count() == len(rows)
-    want = Counter((d, n - r) for d, n, r, _, _ in stripped(rows, 400))
-    assert Counter((r["doc_id"], len((r["text"] or "").encode())) for r in got.collect()) == want
+    want = Counter((d, bytes(np.frombuffer(b, np.uint8)[~either]).decode("utf-8", "ignore")) for (d, _), (b, _, either) in zip(rows, repeats(rows, 400, 51), strict=True))
+    assert Counter((r["doc_id"], r["text"] or "") for r in got.collect()) == want
+
+
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=300), st.lists(st.integers(0, 400), max_size=60), st.integers(0, 60))
+def test_filters_pass_all_similar_sets(first, more, gone):
+    sets = [np.unique(bytescan.mix(np.array(x, np.uint64))) for x in (first, (first + more)[gone % len(first) :])]
+    sets = [x for x in sets if len(x)]
+    if len(sets) < 2:
+        return
+    size = np.array([len(x) for x in sets])
+    signs = jaccard.signatures(np.repeat([0, 1], size), np.concatenate(sets), size, 75)
+    common = len(np.intersect1d(*sets))
+    similar = 100 * common >= 75 * (size.sum() - common)
+    assert jaccard.reaches(sets[0].tobytes(), sets[1].tobytes(), *size.tolist(), 75) == similar
+    if similar:
+        assert jaccard.passes_filters(*signs, *size.tolist(), 75)
+
+
+def test_filters_drop_strangers():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, 500).astype(np.uint64)) for _ in range(2)]
+    size = np.array([len(x) for x in sets])
+    signs = jaccard.signatures(np.repeat([0, 1], size), np.concatenate(sets), size, 75)
+    assert not jaccard.passes_filters(*signs, *size.tolist(), 75)
+    # near the threshold: 60 % of the union in common
+    sets[1] = np.unique(np.concatenate([sets[0][:375], sets[1][:125]]))
+    size = np.array([len(x) for x in sets])
+    signs = jaccard.signatures(np.repeat([0, 1], size), np.concatenate(sets), size, 75)
+    assert not jaccard.passes_filters(*signs, *size.tolist(), 75)

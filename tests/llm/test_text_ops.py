@@ -3,6 +3,7 @@
 import json
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,6 +127,17 @@ def test_token_counts(spark):
             assert abs(r["score"] - sum(s for s, _ in want)) < 1e-6
 
 
+def test_long_words_take_linear_time():
+    pieces = token_counts.vocabulary(packing.default_tokenizer())
+    for word in (b" " + b"ab" * 60, b" " + "漢字かな".encode() * 12, b" x" + b"-=" * 50):
+        buf = np.frombuffer(word, np.uint8)
+        by_trie = token_counts.trie_counts(buf, np.array([0]), np.array([64]), pieces)
+        assert tuple(x[0] for x in by_trie) == pieces.forward(word[:64])
+    began = time.time()
+    tokens, score = pieces.forward(b" " + b"QmFzZTY0IGlzIG5vdCBwcm9zZQ" * 40_000)
+    assert tokens > 100_000 and score < 0 and time.time() - began < 20
+
+
 def test_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"some words here, some words there", np.uint8)
     h = bytescan.Hasher(data)
