@@ -105,6 +105,14 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def lean(spark: SparkSession) -> None:
+    """Bound the Arrow batches that texts travel in by rows and bytes, where the session has Spark's defaults: they are held by the JVM and the worker alike."""
+    for name, default, bound in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(8 << 20))):
+        key = f"spark.sql.execution.arrow.{name}"
+        if default is None or spark.conf.get(key, default) == default:
+            spark.conf.set(key, bound)
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker waits for its next task with what it has, beside others of its executor."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import batch_of, cut, parts
+from siftloom.llm.common import batch_of, cut, lean, parts, trimmed, trimmed_groups
 
 CAPACITY = 2048
 #: The tokenizer's split rule, as its file states it.
@@ -47,7 +47,7 @@ def byte_alphabet() -> dict[str, int]:
 class ChunkIds(dict):
     """Ids of a space and the text behind it, up to the next space, as little-endian 32-bit integers; keeps the first `most` chunks."""
 
-    def __init__(self, encode, most: int = 200_000):
+    def __init__(self, encode, most: int = 60_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -68,7 +68,6 @@ class Tokenizer:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer as Fast
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -76,11 +75,15 @@ class Tokenizer:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in self.added}
         self.plain = tiktoken.Encoding("file", pat_str=SPLIT_RULE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.fast = Fast.from_file(path)
+        self.path, self.fast = path, None
         self.chunks = ChunkIds(self.plain)
 
     def ids(self, text: str) -> bytes:
         if any(t in text for t in self.added):
+            if self.fast is None:
+                from tokenizers import Tokenizer as Fast
+
+                self.fast = Fast.from_file(self.path)
             return array("I", self.fast.encode(text, add_special_tokens=False).ids).tobytes()
         if "  " in text or INNER_SPACE.search(text):
             return array("I", self.plain(text)).tobytes()
@@ -117,7 +120,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int
                     at, k = at + size, k + 1
             yield batch_of(schema, [pa.array(doc, pa.int64()), *(np.frombuffer(a, np.int64) if len(a) else np.zeros(0, np.int64) for a in (start, length, crc)), np.array(piece, np.int32)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, piece int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, start long, length long, ids_crc32 long, piece int")
 
 
 class Packing:
@@ -199,21 +202,20 @@ def crossover(a: Packing, b: Packing, rng: np.random.Generator) -> Packing:
 
 
 def evolve(lengths: np.ndarray, capacity: int, seeds: list[np.ndarray], rng: np.random.Generator, population: int, generations: int) -> list[Packing]:
-    """One epoch of an island, best packing first; stops as soon as no packing can be better."""
+    """One epoch of an island, best packing first.
+
+    The first packings are best-fit ones, of the pieces by decreasing length and of ever noisier orders. All generations run, since a packing that
+    needs as few sequences as any can still be bettered: room that lies together in few sequences serves the packing across blocks.
+    """
     sizes = lengths.tolist()
-    bound = math.ceil(sum(sizes) / capacity)
     people = [Packing.of(sizes, capacity, s) for s in seeds]
     while len(people) < population:
         noise = 1.0 if not people else rng.uniform(0.7, 1.0, len(sizes))
         fresh = Packing(sizes, capacity)
         fresh.best_fit(np.lexsort((np.arange(len(sizes)), -lengths * noise)).tolist())
         people.append(fresh)
-        if len(fresh.bins) == bound:
-            break
     people.sort(key=Packing.fitness, reverse=True)
-    for _ in range(generations):
-        if len(people[0].bins) == bound or len(people) < 2:
-            break
+    for _ in range(generations * (len(sizes) > 1)):
         for _ in range(population // 2):
             i, j = rng.choice(len(people), 2, replace=False)
             child = crossover(people[i], people[j], rng)
@@ -270,7 +272,7 @@ def pack_blocks(items: DataFrame, capacity: int, block_items: int, islands: int,
 
     width = min(max(1, blocks * islands), 4 * parts(spark))
     dealt = items.select("row", "length", F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).alias("block"))
-    frame = dealt.groupBy("block").applyInArrow(gather, ddl)
+    frame = dealt.groupBy("block").applyInArrow(trimmed_groups(gather), ddl)
     for e in range(epochs):
         frame = frame.repartition(width, "block", "island").groupBy("block", "island").applyInArrow(epoch(e), ddl)
 
@@ -278,11 +280,12 @@ def pack_blocks(items: DataFrame, capacity: int, block_items: int, islands: int,
         records = sorted(table.to_pylist(), key=lambda r: (int(np.frombuffer(r["labels"], np.int32).max()), r["island"]))
         return pa.Table.from_pylist(records[:1], schema=state)
 
-    return frame.groupBy("block").applyInArrow(choose, ddl).mapInArrow(unpack, "row long, block long, bin long, room long, offset long")
+    return frame.groupBy("block").applyInArrow(choose, ddl).mapInArrow(trimmed(unpack), "row long, block long, bin long, room long, offset long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, block_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 4, loose: float = 0.02) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, block_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 6, loose: float = 0.02) -> DataFrame:
     """Pieces with the sequence and the offset that each is put at: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    lean(docs.sparkSession)
     table = cut(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()))
     whole = table.where(F.col("length") == capacity).select("row", (F.lit(1 << 60) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = table.where(F.col("length") < capacity).select("row", "length")

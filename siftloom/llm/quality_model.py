@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import bytescan as bs
-from siftloom.llm.common import batch_of, crc_fold, text_slices
+from siftloom.llm.common import batch_of, crc_fold, text_slices, trimmed
 from siftloom.llm.toxicity import training_rows
 from siftloom.llm.trees import bin_edges, to_bins
 
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
                 yield batch_of(schema, [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), flat])
 
     rows = training_rows(docs, labels, label, train, max_train).select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"))
-    got = rows.mapInArrow(scan, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(trimmed(scan), "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(float)
     if len(got) < 20 or y.min() == y.max():
         return None
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: AdditiveModel | None, threshold: float = 0.3)
                 s = np.full(hi - lo, 0.5) if model is None else model.probability(features(buf, offsets))
                 yield batch_of(schema, [batch.column(0).slice(lo, hi - lo), s, (s >= threshold).astype(np.int32)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

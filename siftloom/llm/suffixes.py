@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import bytescan as bs
-from siftloom.llm.common import batch_of, cut, free_shuffles, in_bitmap, key_bitmap, parts, scratch, text_slices, trimmed, trimmed_groups
+from siftloom.llm.common import batch_of, cut, free_shuffles, in_bitmap, key_bitmap, lean, parts, scratch, text_slices, trimmed, trimmed_groups
 
 LENGTH, GRAM, BLOCK = 400, 128, 64
 U = np.uint64
@@ -94,25 +94,30 @@ def base_rows(docs: DataFrame) -> DataFrame:
 
 
 def anchor_table(base: DataFrame, path: str, length: int, gram: int, words: int) -> DataFrame:
-    """Written as Parquet: (doc_id, f1, f2, n, runs, word_runs) of every row, the last two array<struct<gram, lo, hi>>."""
-    item = pa.struct([("gram", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    """Written as Parquet: (doc_id, f1, f2, n, runs, word_runs) of every row, the last two array<struct<gram, lo, hi, a, b>>.
+
+    lo and hi are the first and the last window's start, in bytes or words; a and b bound the bytes of all the run's windows.
+    """
+    item = pa.struct([("gram", pa.int64()), *((c, pa.int32()) for c in ("lo", "hi", "a", "b"))])
     schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "f1", "f2", "n")), ("runs", pa.list_(item)), ("word_runs", pa.list_(item))])
 
-    def listed(sequence: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> pa.Array:
+    def listed(sequence: np.ndarray, offsets: np.ndarray, length: int, gram: int, begin=None, end=None, text_offsets=None) -> pa.Array:
         grams, _, first, last = window_anchors(sequence, offsets, length, gram)
         text = bs.owner(offsets, first)
         bounds = np.searchsorted(text, np.arange(len(offsets))).astype(np.int32)
-        values = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), pa.array((first - offsets[text]).astype(np.int32)), pa.array((last - offsets[text]).astype(np.int32))], fields=list(item))
+        lo, hi = first - offsets[text], last - offsets[text]
+        a, b = (lo, hi + length) if begin is None else (begin[first] - text_offsets[text], end[last + length - 1] - text_offsets[text])
+        values = pa.StructArray.from_arrays([pa.array(grams.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, a, b))], fields=list(item))
         return pa.ListArray.from_arrays(pa.array(bounds), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offsets in text_slices(batch, "text", SLICE):
-                sequence, word_offsets, *_ = word_sequence(buf, offsets)
-                lists = listed(buf, offsets, length, gram), listed(sequence, word_offsets, words, WORD_GRAM)
+                sequence, word_offsets, begin, end = word_sequence(buf, offsets)
+                lists = listed(buf, offsets, length, gram), listed(sequence, word_offsets, words, WORD_GRAM, begin, end, offsets)
                 yield batch_of(schema, [*(batch.column(i).slice(lo, hi - lo) for i in range(3)), np.diff(offsets), *lists])
 
-    runs = "array<struct<gram:long,lo:int,hi:int>>"
+    runs = "array<struct<gram:long,lo:int,hi:int,a:int,b:int>>"
     base.mapInArrow(trimmed(run), f"doc_id long, f1 long, f2 long, n long, runs {runs}, word_runs {runs}").write.parquet(path)
     return base.sparkSession.read.parquet(path)
 
@@ -271,41 +276,66 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: A gram with more than one in so many of all runs is hot; so there are fewer hot grams than this.
+HOT_SHARE = 2000
+
+
 def twice_found(table: DataFrame, column: str) -> DataFrame:
-    """The distinct runs (f1, f2, gram, lo, hi) whose gram is found at two places, copies of a text being one; the count is cut off first, so that Spark
-    can split the join of a gram that very many texts share."""
-    runs = table.select("f1", "f2", F.explode(column).alias("r")).select("f1", "f2", "r.gram", "r.lo", "r.hi")
+    """The distinct runs (f1, f2, gram, lo, hi, a, b) whose gram is found at two places, copies of a text being one.
+
+    Runs of the few hot grams are recognised where they are read; only the others are dealt by gram, so that no passage that very many texts share
+    meets in one task.
+    """
+    runs = table.select("f1", "f2", F.explode(column).alias("r")).select("f1", "f2", *(f"r.{c}" for c in ("gram", "lo", "hi", "a", "b")))
     place = F.xxhash64("f1", "f2", "lo", "hi")
-    twice = cut(runs.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram"))
-    return cut(runs.join(twice, "gram").distinct())
+    counted = runs.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("c")).where("a <> b").select("gram", "c")
+    twice = cut(counted)
+    total = table.agg(F.sum(F.greatest(F.size(column), F.lit(0)).cast("long"))).first()[0] or 0
+    hot = twice.where(F.col("c") * HOT_SHARE > total).select("gram")
+    rest = runs.join(F.broadcast(hot), "gram", "left_anti").join(twice.where(F.col("c") * HOT_SHARE <= total).select("gram"), "gram")
+    return cut(runs.join(F.broadcast(hot), "gram").unionByName(rest).distinct())
+
+
+def open_runs(flagged: DataFrame, spans: DataFrame) -> DataFrame:
+    """The runs of the grams that some run has which no removed span holds whole. spans: (f1, f2, starts, ends)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for grams, first, last, starts, ends in zip(*(batch.column(i) for i in range(5)), strict=True):
+                grams, first, last = (np.array(x.as_py(), np.int64) for x in (grams, first, last))
+                held = np.zeros(len(grams), bool)
+                if starts.is_valid:
+                    spans = np.array(merge_spans(*span_list(starts, ends).T), np.int64).reshape(-1, 2)
+                    k = np.maximum(np.searchsorted(spans[:, 0], first, "right") - 1, 0)
+                    held = (spans[k, 0] <= first) & (last <= spans[k, 1])
+                out.append(grams[~held])
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(out)))], names=["gram"])
+
+    lists = flagged.groupBy("f1", "f2").agg(*(F.collect_list(c).alias(c) for c in ("gram", "a", "b"))).join(spans, ["f1", "f2"], "left")
+    still = cut(lists.select("gram", "a", "b", "starts", "ends").mapInArrow(trimmed(run), "gram long").distinct())
+    return cut(flagged.join(still, "gram", "left_semi"))
 
 
 def shared_windows(texts: DataFrame, words: int, buckets: int) -> DataFrame:
-    """The windows of flagged runs that the removed spans leave, packed by a bucket of their hash. texts: (f1, f2, text, runs, starts, ends)."""
+    """The windows of flagged runs, packed by a bucket of their hash. texts: (f1, f2, text, runs)."""
     schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "f1", "f2", "starts", "ends"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[np.ndarray, ...]] = []
-            for f1, f2, text, runs, starts, ends in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for f1, f2, text, runs in zip(*(batch.column(i) for i in range(4)), strict=True):
                 buf = np.frombuffer(text.as_buffer(), np.uint8)
                 sequence, _, first, end = word_sequence(buf, np.array([0, len(buf)]))
                 at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs.as_py()]))
-                a, b = first[at], end[at + words - 1]
-                if starts.is_valid:
-                    spans = np.array(merge_spans(*(np.frombuffer(b"".join(x.as_py()), np.int32) for x in (starts, ends))), np.int64).reshape(-1, 2)
-                    if len(spans):
-                        k = np.maximum(np.searchsorted(spans[:, 0], a, "right") - 1, 0)
-                        inside = (spans[k, 0] <= a) & (b <= spans[k, 1])
-                        at, a, b = at[~inside], a[~inside], b[~inside]
                 own = np.ones(len(at), np.int64)
-                held.append((bs.Hasher(sequence).of(at, at + words), own * f1.as_py(), own * f2.as_py(), a.astype(np.int32), b.astype(np.int32)))
+                held.append((bs.Hasher(sequence).of(at, at + words), own * f1.as_py(), own * f2.as_py(), first[at].astype(np.int32), end[at + words - 1].astype(np.int32)))
             if held:
                 columns = [np.concatenate(x) for x in zip(*held, strict=True)]
                 bucket = (columns[0] % U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bounds = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else []
-                pieces = [order[i:j] for i, j in zip(bounds, np.r_[bounds[1:], len(order)] if len(order) else [], strict=True)]
+                bounds = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
+                pieces = [order[i:j] for i, j in zip(bounds, np.r_[bounds[1:], len(order)], strict=True)]
                 yield batch_of(schema, [[int(bucket[p[0]]) for p in pieces], *([c[p].tobytes() for p in pieces] for c in columns)])
 
     return texts.mapInArrow(trimmed(run), "bucket long, hashes binary, f1 binary, f2 binary, starts binary, ends binary")
@@ -343,28 +373,28 @@ def whole(c) -> F.Column:
     return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1))))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 1 << 20, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(base, decisions): decisions has (doc_id, f1, f2, starts, ends, passage_starts, passage_ends) of the rows with repeats.
 
     starts and ends bound the bytes covered by strings of `length` bytes that occur elsewhere; the others bound passages of `words` words or more that
-    another text has too, as far as the first kind leaves them. Spans are packed as 32-bit integers, not merged.
+    another text has too, but for some that lie in the first kind's spans everywhere. Spans are packed as 32-bit integers, not merged.
     """
     spark = docs.sparkSession
+    lean(spark)
     base = base_rows(docs)
     table = anchor_table(base, scratch(spark, "anchors"), length, gram, words)
     # one row for each group of equal texts: that of the smallest id
     classes = cut(table.groupBy("f1", "f2", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max(F.size("word_runs") > 0).alias("long_words")))
     copied = classes.where((F.col("copies") > 1) & ((F.col("n") >= length) | F.col("long_words")))
 
-    def flagged_texts(flagged: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-        """(f1, f2, text, runs) of the texts with flagged runs, with starts and ends of `spans`; only these texts are shuffled."""
-        wanted = flagged.groupBy("f1", "f2").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs")).join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
-        wanted = cut(wanted if spans is None else wanted.join(spans, ["f1", "f2"], "left"))
+    def flagged_texts(flagged: DataFrame) -> DataFrame:
+        """(f1, f2, text, runs) of the texts with flagged runs; only these texts are shuffled."""
+        wanted = cut(flagged.groupBy("f1", "f2").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs")).join(classes.select("f1", "f2", "rep"), ["f1", "f2"]))
         own = lambda i: F.xxhash64("f1", F.coalesce(i, F.lit(-1).cast("long")))
         bitmap = spark.sparkContext.broadcast(key_bitmap(wanted.select(own(F.col("rep")))))
         texts = pick_rows(base.withColumn("own", own(F.col("doc_id"))), bitmap, "own")
         same = [texts["f1"] == wanted["f1"], texts["f2"] == wanted["f2"], texts["doc_id"].eqNullSafe(wanted["rep"])]
-        return texts.join(wanted, same).select(texts["f1"], texts["f2"], F.col("text").cast("binary").alias("text"), *(c for c in wanted.columns if c not in ("f1", "f2", "rep")))
+        return texts.join(wanted, same).select(texts["f1"], texts["f2"], F.col("text").cast("binary").alias("text"), "runs")
 
     flagged = twice_found(table, "runs")
     free_shuffles(spark)
@@ -383,8 +413,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rang
     spans = cut(spans.join(copied.where(F.col("n") >= length).select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(all_of(copied.where(F.col("n") >= length))))
     joined = cut(spans.groupBy("f1", "f2").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
     free_shuffles(spark)
-    # passages of words: the windows that the spans leave
-    windows = shared_windows(flagged_texts(twice_found(table, "word_runs"), joined), words, max(parts(spark), -(-size // (8 * range_bytes))))
+    # passages of words; where every run of a gram lies in removed spans, nothing is left to find
+    windows = shared_windows(flagged_texts(open_runs(twice_found(table, "word_runs"), joined)), words, max(parts(spark), -(-size // (16 * range_bytes))))
     short = copied.where(F.col("n") < length)
     shared = cut(passages(windows).join(short.select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(all_of(short)))
     free_shuffles(spark)
@@ -428,7 +458,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 2 << 20, words: int = WORDS) -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 1 << 20, words: int = WORDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated) of every row.
 
     n_repeated counts the bytes of repeats of either kind: those removed, and those of passages of `words` words or more that another text has too.

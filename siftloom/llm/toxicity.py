@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import bytescan as bs
-from siftloom.llm.common import batch_of, crc_fold, text_slices
+from siftloom.llm.common import batch_of, crc_fold, lean, text_slices, trimmed
 from siftloom.llm.trees import BoostedTrees, isotonic_fit
 
 SEED_WORDS = "bastard clown creep degenerate disgusting dumb filth filthy fool garbage idiot imbecile loser moron pathetic pig scum stupid trash ugly vermin worthless".split()
@@ -163,7 +163,7 @@ def learn_lexicon(rows: DataFrame, least: int = 4, most: int = 4000, min_odds: f
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     best = (
-        rows.select("text", "y").mapInArrow(count, "key long, toxic long, clean long")
+        rows.select("text", "y").mapInArrow(trimmed(count), "key long, toxic long, clean long")
         .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(F.col("toxic") >= least).withColumn("odds", odds).where(F.col("odds") >= min_odds)
         .orderBy(F.col("odds").desc(), "key").limit(most).select("key", "odds").toPandas()
@@ -182,7 +182,7 @@ def feature_rows(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield batch_of(schema, [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), flat])
 
-    return rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(scan, "doc_id long, y int, x array<double>")
+    return rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(trimmed(scan), "doc_id long, y int, x array<double>")
 
 
 class ToxicityModel:
@@ -202,6 +202,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", max_train: int = 16_000, seed: int = 7) -> ToxicityModel:
     """Learn from labelled rows where `train` (over the labels' doc_id) holds, at most `max_train` of them."""
+    lean(docs.sparkSession)
     rows = training_rows(docs, labels, label, train, max_train)
     lexicon = learn_lexicon(rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(2)) == 0))
     got = feature_rows(rows, lexicon).toPandas().sort_values("doc_id", kind="stable")
@@ -228,7 +229,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
                 s = model.score(buf, offsets)
                 yield batch_of(schema, [batch.column(0).slice(lo, hi - lo), s, (s >= threshold).astype(np.int32)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
@@ -242,7 +243,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(trimmed(run), rows.schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
