@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import shutil
+import subprocess
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,9 +55,17 @@ def cut_by(df: DataFrame, partitions: int, column: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced; else they stay until the driver happens to collect garbage."""
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced; else they stay until the driver happens to collect garbage.
+
+    The driver's free memory goes back to the system as well.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    give_back()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    # the many short-lived threads of plans leave freed native memory with the driver's C library, which gives it back only when asked
+    if tool := shutil.which("jcmd"):
+        subprocess.run([tool, str(jvm.java.lang.ProcessHandle.current().pid()), "System.trim_native_heap"], capture_output=True, timeout=60, check=False)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -105,6 +115,16 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Values byte plane by byte plane, so that the empty high bytes of small numbers lie together and compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(data: pa.Buffer | bytes, kind: np.dtype) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
 def lean(spark: SparkSession) -> None:
     """Bound the Arrow batches that texts travel in by rows and bytes, where the session has Spark's defaults: they are held by the JVM and the worker alike."""
     for name, default, bound in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(8 << 20))):

@@ -47,7 +47,7 @@ def byte_alphabet() -> dict[str, int]:
 class ChunkIds(dict):
     """Ids of a space and the text behind it, up to the next space, as little-endian 32-bit integers; keeps the first `most` chunks."""
 
-    def __init__(self, encode, most: int = 60_000):
+    def __init__(self, encode, most: int = 150_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -182,18 +182,18 @@ def crossover(a: Packing, b: Packing, rng: np.random.Generator) -> Packing:
     room = np.array(b.room)
     full = np.flatnonzero(room <= np.quantile(room, 0.6))
     chosen = full[rng.random(len(full)) < rng.uniform(0.1, 0.5)]
-    taken = np.zeros(len(a.lengths), bool)
+    taken = bytearray(len(a.lengths))
     child = Packing(a.lengths, a.capacity)
     for k in chosen.tolist():
         child.bins.append(list(b.bins[k]))
         child.room.append(b.room[k])
-        taken[b.bins[k]] = True
+        for i in b.bins[k]:
+            taken[i] = 1
     loose = int(np.argmax(a.room))  # the emptiest bin goes as well, as a mutation
     displaced = []
     for k, items in enumerate(a.bins):
-        hit = taken[items]
-        if k == loose or hit.any():
-            displaced += [i for i, h in zip(items, hit.tolist(), strict=True) if not h]
+        if k == loose or any(taken[i] for i in items):
+            displaced += [i for i in items if not taken[i]]
         else:
             child.bins.append(list(items))
             child.room.append(a.room[k])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import bytescan as bs
-from siftloom.llm.common import batch_of, cut, free_shuffles, in_bitmap, key_bitmap, lean, parts, scratch, text_slices, trimmed, trimmed_groups
+from siftloom.llm.common import batch_of, cut, free_shuffles, from_planes, in_bitmap, key_bitmap, lean, parts, planes, scratch, text_slices, trimmed, trimmed_groups
 
 LENGTH, GRAM, BLOCK = 400, 128, 64
 U = np.uint64
@@ -317,55 +317,79 @@ def open_runs(flagged: DataFrame, spans: DataFrame) -> DataFrame:
     return cut(flagged.join(still, "gram", "left_semi"))
 
 
+WINDOWS = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "texts", "which", "starts", "ends"))])
+WINDOWS_DDL = "bucket long, hashes binary, texts binary, which binary, starts binary, ends binary"
+
+
+def window_rows(bucket: np.ndarray, hashes: np.ndarray, texts: np.ndarray, which: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """Windows packed by bucket; texts has the two hashes of each text, which says the text of each window."""
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    rows = []
+    for i, j in zip(bounds, np.r_[bounds[1:], len(order)] if len(order) else bounds, strict=True):
+        p = order[i:j]
+        own, number = np.unique(which[p], return_inverse=True)
+        rows.append((int(bucket[p[0]]), hashes[p].tobytes(), texts[own].tobytes(), *(planes(x.astype(np.int32)) for x in (number.ravel(), starts[p], ends[p]))))
+    return batch_of(WINDOWS, [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in WINDOWS])
+
+
+def windows_of(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(hashes, f1, f2, starts, ends) of packed windows."""
+    out = []
+    for h, texts, *small in zip(*(table.column(c) for c in WINDOWS.names[1:]), strict=True):
+        which, starts, ends = (from_planes(x.as_buffer(), np.int32) for x in small)
+        texts = np.frombuffer(texts.as_buffer(), np.int64).reshape(-1, 2)[which]
+        out.append((np.frombuffer(h.as_buffer(), U), texts[:, 0], texts[:, 1], starts, ends))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def shared_windows(texts: DataFrame, words: int, buckets: int) -> DataFrame:
     """The windows of flagged runs, packed by a bucket of their hash. texts: (f1, f2, text, runs)."""
-    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "f1", "f2", "starts", "ends"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[np.ndarray, ...]] = []
-            for f1, f2, text, runs in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for i, (text, runs) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 buf = np.frombuffer(text.as_buffer(), np.uint8)
                 sequence, _, first, end = word_sequence(buf, np.array([0, len(buf)]))
                 at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs.as_py()]))
-                own = np.ones(len(at), np.int64)
-                held.append((bs.Hasher(sequence).of(at, at + words), own * f1.as_py(), own * f2.as_py(), first[at].astype(np.int32), end[at + words - 1].astype(np.int32)))
+                held.append((bs.Hasher(sequence).of(at, at + words), np.full(len(at), i), first[at], end[at + words - 1]))
             if held:
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                bucket = (columns[0] % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
-                pieces = [order[i:j] for i, j in zip(bounds, np.r_[bounds[1:], len(order)], strict=True)]
-                yield batch_of(schema, [[int(bucket[p[0]]) for p in pieces], *([c[p].tobytes() for p in pieces] for c in columns)])
+                hashes, which, starts, ends = (np.concatenate(x) for x in zip(*held, strict=True))
+                both = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+                yield window_rows((hashes % U(buckets)).astype(np.int64), hashes, both, which, starts, ends)
 
-    return texts.mapInArrow(trimmed(run), "bucket long, hashes binary, f1 binary, f2 binary, starts binary, ends binary")
+    return texts.mapInArrow(trimmed(run), WINDOWS_DDL)
 
 
-def passages(windows: DataFrame) -> DataFrame:
-    """(f1, f2, starts, ends) of the windows that more than one text has."""
+def passages(windows: DataFrame, buckets: int) -> DataFrame:
+    """(f1, f2, starts, ends) of the windows that more than one text has; they travel packed by a bucket of their text."""
     schema = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
 
-    def run(table: pa.Table) -> pa.Table:
-        kinds = {"hashes": U, "f1": np.int64, "f2": np.int64, "starts": np.int32, "ends": np.int32}
-        h, f1, f2, a, b = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in kinds.items())
+    def several(table: pa.Table) -> pa.Table:
+        h, f1, f2, a, b = windows_of(table)
         order = np.lexsort((f2, f1, h))
         h, f1, f2, a, b = (x[order] for x in (h, f1, f2, a, b))
-        if not len(h):
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(h)] - 1 if len(h) else starts
+        hit = np.repeat((f1[starts] != f1[ends]) | (f2[starts] != f2[ends]), ends - starts + 1)
+        both, which = np.unique(np.stack([f1[hit], f2[hit]], axis=1), axis=0, return_inverse=True)
+        which = which.ravel()
+        bucket = (bs.mix(both[:, 0].view(U) if both.shape[0] else np.zeros(0, U)) % U(buckets)).astype(np.int64)[which]
+        return pa.Table.from_batches([window_rows(bucket, np.zeros(len(which), U), both, which, a[hit], b[hit])])
+
+    def by_text(table: pa.Table) -> pa.Table:
+        _, f1, f2, a, b = windows_of(table)
+        if not len(f1):
             return schema.empty_table()
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        ends = np.r_[starts[1:], len(h)] - 1
-        several = (f1[starts] != f1[ends]) | (f2[starts] != f2[ends])
-        hit = np.repeat(several, ends - starts + 1)
-        f1, f2, a, b = (x[hit] for x in (f1, f2, a, b))
         by = np.lexsort((a, f2, f1))
         f1, f2, a, b = (x[by] for x in (f1, f2, a, b))
-        if not len(f1):
-            return schema.empty_table()
         bounds = np.flatnonzero(np.r_[True, (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])])
         pieces = list(zip(bounds, np.r_[bounds[1:], len(f1)], strict=True))
         return pa.table([f1[bounds], f2[bounds], pa.array([a[i:j].tobytes() for i, j in pieces], pa.binary()), pa.array([b[i:j].tobytes() for i, j in pieces], pa.binary())], schema=schema)
 
-    return windows.groupBy("bucket").applyInArrow(trimmed_groups(run), "f1 long, f2 long, starts binary, ends binary")
+    found = windows.groupBy("bucket").applyInArrow(trimmed_groups(several), WINDOWS_DDL)
+    return found.groupBy("bucket").applyInArrow(trimmed_groups(by_text), "f1 long, f2 long, starts binary, ends binary")
 
 
 def whole(c) -> F.Column:
@@ -414,9 +438,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rang
     joined = cut(spans.groupBy("f1", "f2").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")))
     free_shuffles(spark)
     # passages of words; where every run of a gram lies in removed spans, nothing is left to find
-    windows = shared_windows(flagged_texts(open_runs(twice_found(table, "word_runs"), joined)), words, max(parts(spark), -(-size // (16 * range_bytes))))
+    buckets = max(parts(spark), -(-size // (16 * range_bytes)))
+    windows = shared_windows(flagged_texts(open_runs(twice_found(table, "word_runs"), joined)), words, buckets)
+    free_shuffles(spark)
     short = copied.where(F.col("n") < length)
-    shared = cut(passages(windows).join(short.select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(all_of(short)))
+    shared = cut(passages(windows, buckets).join(short.select("f1", "f2"), ["f1", "f2"], "left_anti").unionByName(all_of(short)))
     free_shuffles(spark)
     shared = shared.groupBy("f1", "f2").agg(F.collect_list("starts").alias("passage_starts"), F.collect_list("ends").alias("passage_ends"))
     both = joined.join(shared, ["f1", "f2"], "full")
