@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,22 @@ def has_prefix(code: Column, prefixes: tuple[str, ...] = PREFIXES) -> Column:
     return hit
 
 
+def stripped_tokens(cell: Column) -> Column:
+    """The digits of each comma-separated token; an array of its own, so that each token is stripped once."""
+    return F.transform(F.split(cell, ","), lambda t: F.regexp_replace(t, r"(?U)\D+", ""))
+
+
+def stripped_pattern(prefixes: tuple[str, ...]) -> str:
+    """A pattern of stripped tokens that normalise to a code with one of the prefixes: 6, 8 or 10 digits, or an odd 5, 7 or 9 that lack the leading zero."""
+    even = "|".join(re.escape(p) for p in prefixes)
+    odd = [re.escape(p[1:]) for p in prefixes if p[:1] in ("", "0")]
+    padded = rf"|(?=(?:.{{5}}|.{{7}}|.{{9}})$)(?:{'|'.join(odd)})" if odd else ""
+    return rf"^(?:(?=(?:.{{6}}|.{{8}}|.{{10}})$)(?:{even}){padded})"
+
+
 def comma_cell_matches(cell: Column, prefixes: tuple[str, ...] = PREFIXES) -> Column:
     """Some comma-separated token normalises to a code with a wanted prefix; null cells don't match."""
-    return F.coalesce(F.exists(F.split(cell, ","), lambda t: F.coalesce(has_prefix(normalize_code(t), prefixes), F.lit(False))), F.lit(False))
+    return F.coalesce(F.exists(stripped_tokens(cell), lambda t: t.rlike(stripped_pattern(prefixes))), F.lit(False)) if prefixes else F.lit(False)
 
 
 def clean_semicolon_cell(cell: Column, repair: bool = True) -> Column:
@@ -41,5 +56,5 @@ def semicolon_cell_matches(cleaned: Column, prefixes: tuple[str, ...] = PREFIXES
 
 
 def has_code(cell: Column) -> Column:
-    """Some comma-separated token is a well-formed code."""
-    return F.exists(F.split(cell, ","), lambda t: normalize_code(t).isNotNull())
+    """Some comma-separated token is a well-formed code: 5 to 10 digits, the odd lengths being padded."""
+    return F.exists(stripped_tokens(cell), lambda t: F.length(t).between(5, 10))

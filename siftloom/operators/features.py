@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +75,8 @@ def training_set(seeds: DataFrame, approved: DataFrame, rejected: DataFrame, fea
 
 
 def class_weights(training: DataFrame) -> DataFrame:
-    """Balanced weights: n / (classes * rows of the class)."""
-    every, own = Window.partitionBy(F.lit(1)), Window.partitionBy("y")
-    classes = training.select("y").distinct().count()
-    return training.withColumn("w", F.count("*").over(every) / (F.lit(classes) * F.count("*").over(own)))
+    """Balanced weights: n / (classes * rows of the class); y is 0 or 1, so the counts are two rows at most."""
+    own = training.groupBy("y").agg(F.count("*").alias("own"))
+    total = own.agg(F.sum("own").alias("every"), F.count("*").alias("kinds"))
+    shares = own.crossJoin(F.broadcast(total)).select("y", (F.col("every") / (F.col("kinds") * F.col("own"))).alias("w"))
+    return training.drop("w").join(F.broadcast(shares), "y").select(*(c for c in training.columns if c != "w"), "w")

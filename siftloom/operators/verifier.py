@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftloom.operators.features import FEATURES
+from siftloom.sources import files
 
 
 def feature_scales(training: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -73,8 +74,16 @@ class Verifier:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Verifier | None:
         """None where there is no model or one over other features."""
-        try:
-            state = json.loads(spark.read.text(path).first()["value"])
-        except Exception:  # noqa: BLE001  (no model yet)
+        if not files.exists(spark, path):
             return None
+        state = json.loads(spark.read.text(path).first()["value"])
         return cls(**state) if set(state["weights"]) == set(FEATURES) else None
+
+    def remember(self, fresh: DataFrame, path: str) -> None:
+        """Keep the labelled rows that this update has added, for the next run's fit. Each update has a folder of its own, so nothing is rewritten."""
+        fresh.write.mode("overwrite").parquet(f"{path}-history/update={self.updates}")
+
+    @staticmethod
+    def history(spark: SparkSession, path: str) -> DataFrame | None:
+        """All labelled rows that were kept beside the model; None where there are none."""
+        return spark.read.parquet(f"{path}-history").drop("update") if files.exists(spark, f"{path}-history") else None

@@ -33,8 +33,9 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
 
 
-def resolve_names(counts: DataFrame, constraints: DataFrame | None = None, reviewed: DataFrame | None = None, history: DataFrame | None = None, previous: verifier.Verifier | None = None, encoder=None, zero_cosine_feedback: bool = True) -> Resolution:
-    """Cluster the names of (name, cnt, first_pos). reviewed: (cluster, label) rows; history: labelled feature rows of earlier runs."""
+def resolve_names(counts: DataFrame, constraints: DataFrame | None = None, reviewed: DataFrame | None = None, history: DataFrame | None = None, previous: verifier.Verifier | None = None, encoder=None, zero_cosine_feedback: bool = True, warm: verifier.Verifier | None = None) -> Resolution:
+    """Cluster the names of (name, cnt, first_pos). reviewed: (cluster, label) rows; history: labelled feature rows of earlier runs; warm: the
+    model of seeds and feedback that an earlier run left, from which weak pairs are mined."""
     spark = counts.sparkSession
     clustering.ensure_checkpoint_dir(spark)
     table = names.described(names.vocabulary(counts)).checkpoint()
@@ -57,7 +58,7 @@ def resolve_names(counts: DataFrame, constraints: DataFrame | None = None, revie
         pairs_told = feedback.feedback_pairs(feedback.parse_feedback(numbered, "cluster_id"), table).checkpoint()
         plain = pairs_told.select("i", "j").distinct().withColumns({"s_cos": F.lit(0.0), "s_chr": F.lit(0.0), "bridge": F.lit(0.0)})
         told = features.pair_features(plain, table, zero_cosine=zero_cosine_feedback).checkpoint()
-        warm = verifier.Verifier.fit(features.training_set(seeds, none, none, feats, told))
+        warm = verifier.Verifier.fit(features.training_set(seeds, none, none, feats, told), previous=warm)
         scored = warm.score(told).select("i", "j", "p") if warm else told.select("i", "j", F.lit(0.0).alias("p"))
         known = warm.score(feats).select("i", "j", F.col("p").alias("q")) if warm else none.withColumn("q", F.lit(0.0))
         scored = scored.join(known, ["i", "j"], "left").select("i", "j", F.coalesce("q", "p").alias("p"))
@@ -66,9 +67,8 @@ def resolve_names(counts: DataFrame, constraints: DataFrame | None = None, revie
         by_id = table.select("name_id", "name")
         named = lambda df, kind: df.join(by_id.toDF("i", "a"), "i").join(by_id.toDF("j", "b"), "j").select(F.lit(kind).alias("kind"), "a", "b")
         constraints = feedback.union_constraints(constraints, named(approved, "must"), named(rejected, "cannot")).checkpoint()
-    training = features.training_set(seeds, approved, rejected, feats, told)
-    if history is not None:
-        training = training.unionByName(history)
+    fresh = features.training_set(seeds, approved, rejected, feats, told).checkpoint()
+    training = fresh if history is None else fresh.unionByName(history)
     model = verifier.Verifier.fit(training, previous=previous)
     scored = (model.score(feats) if model else feats.withColumn("p", F.lit(0.0))).select("i", "j", "p").checkpoint()
     links = feedback.constraints_to_ids(constraints, table)
@@ -76,19 +76,23 @@ def resolve_names(counts: DataFrame, constraints: DataFrame | None = None, revie
     merged = clustering.cluster_no_chaining(nodes, scored, model.threshold if model else 0.5, must, cannot).withColumnRenamed("node", "name_id").checkpoint()
     pure = clustering.purify(merged, vectors, must).checkpoint()
     labels = clustering.assign_acronyms(pure, table, vectors).checkpoint()
-    return Resolution(table, labels, scored, model, constraints, {"training": training, "merged": merged})
+    return Resolution(table, labels, scored, model, constraints, {"training": training, "fresh": fresh, "warm": warm, "merged": merged})
 
 
 def filter_folder(spark: SparkSession, source: str, target: str) -> list[tuple[str, int, int]]:
-    """Dialect with comma lists over all CSV files below a folder, mirrored below `target`: (file, kept, total) of each that has a code column."""
+    """Dialect with comma lists over all CSV files below a folder, mirrored below `target`: (file, kept, total) of each that has a code column.
+
+    A file of which no row is kept gets no output.
+    """
     done = []
     for path in files.list_files(spark, source, recursive=True):
         df = files.read_csv(spark, path)
         column = filtering.detect_code_column(df)
         if column is None:
             continue
-        files.write_csv(filtering.filter_comma(df, column), files.mirrored(path, source, target))
         counted = filtering.filter_counts(df, column).first()
+        if counted["kept"]:
+            files.write_csv(filtering.filter_comma(df, column), files.mirrored(path, source, target))
         done.append((path, counted["kept"], counted["total"]))
     return done
 
@@ -114,14 +118,16 @@ def cluster_folder(spark: SparkSession, source: str, target: str, columns: list[
     model = verifier.Verifier.load(spark, model_path) if model_path else None
     constraints = files.read_constraints(spark, constraints_path) if constraints_path else None
     told = files.read_feedback(spark, reviewed) if reviewed else None
-    history = None
+    history = verifier.Verifier.history(spark, model_path) if model_path else None
+    warm = verifier.Verifier.load(spark, f"{model_path}_warm") if model_path else None
     for path in files.list_files(spark, source):
         column = filtering.pick_column(files.header(spark, path) or [], columns)
         if column is None:
             continue
         df = files.read_csv(spark, path).coalesce(1).withColumn("pos", F.monotonically_increasing_id())
-        result = resolve_names(names.name_counts(df, column, F.col("pos")), constraints, told, history, model)
-        model, constraints, history = result.model, result.constraints, result.extra.get("training", history)
+        result = resolve_names(names.name_counts(df, column, F.col("pos")), constraints, told, history, model, warm=warm)
+        learned = result.model is not None and (model is None or result.model.updates > model.updates)
+        model, constraints, history, warm = result.model, result.constraints, result.extra.get("training", history), result.extra.get("warm", warm)
         stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         files.write_lines(result.report(), f"{target}/{stem}.txt")
         if emit_review > 0:
@@ -130,5 +136,9 @@ def cluster_folder(spark: SparkSession, source: str, target: str, columns: list[
             files.write_constraints(constraints, constraints_path)
         if model is not None and model_path:
             model.save(spark, model_path)
+            if learned:
+                model.remember(result.extra["fresh"], model_path)
+            if warm is not None:
+                warm.save(spark, f"{model_path}_warm")
         done += 1
     return done

@@ -163,20 +163,127 @@ def name_counts(spark, sf_dir):
     return names.name_counts(table(spark, sf_dir, "part"), "p_name", F.col("p_partkey"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder where the cluster keeps its checkpoints."""
+    import uuid
+
+    clustering.ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 @query("SELECT event_type AS name, count(*) AS cnt FROM events GROUP BY 1")
 def stream_name_counts(spark, sf_dir):
     """The counts of a stream over `events`, run until all that is there has been read."""
-    import tempfile
-    import uuid
-
     from siftloom.streaming import jobs
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    base = scratch(spark, "stream")
     jobs.stream_counts(jobs.read_stream(spark, sf_dir, "events"), "event_type", f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("name", F.col("count").alias("cnt"))
 
 
+CODED_SQL = f"(SELECT l_orderkey, l_linenumber, concat({code('l_partkey', False)}, ',', {code('l_orderkey', False)}) AS cell FROM lineitem)"
+
+
+@query("SELECT l_orderkey, l_linenumber, cell FROM " + CODED_SQL + " WHERE " + MATCH_SQL.format(cell="cell", norm=NORM.format(t="t")))
+def stream_filter(spark, sf_dir):
+    """The rows that an append-only stream over `lineitem` keeps, restarted once."""
+    from siftloom.streaming import jobs
+
+    base = scratch(spark, "stream")
+    rows = jobs.read_stream(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(f"concat({code('l_partkey', True)}, ',', {code('l_orderkey', True)})").alias("cell"))
+    for _ in range(2):
+        jobs.stream_filter(rows, F.col("cell"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'cannot' ELSE 'must' END AS kind, least(s_name, concat('N', CAST(s_nationkey AS VARCHAR))) AS a, greatest(s_name, concat('N', CAST(s_nationkey AS VARCHAR))) AS b FROM supplier")
+def stream_constraints(spark, sf_dir):
+    """Constraints that a stream has stored, in either direction and twice."""
+    from siftloom.streaming import jobs
+
+    base = scratch(spark, "stream")
+    rows = jobs.read_stream(spark, sf_dir, "supplier")
+    pair = rows.select(F.when(F.col("s_suppkey") % 3 == 0, "cannot").otherwise("must").alias("kind"), F.col("s_name").alias("a"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("b"))
+    for k in range(2):
+        jobs.stream_constraints(pair if k else pair.select("kind", F.col("b").alias("a"), F.col("a").alias("b")), f"{base}/store", f"{base}/state{k}")
+    return jobs.stored_constraints(spark, f"{base}/store")
+
+
+# ---- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, concat('say \"', p_name, '\", ', chr(10), 'twice') AS name, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS brand FROM part")
+def csv_round_trip(spark, sf_dir):
+    """Parts written as CSV, with quotes, commas, line breaks and missing values, and read again as text."""
+    from siftloom.sources import files
+
+    path = scratch(spark, "csv")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit('say "'), "p_name", F.lit('", '), F.lit("\n"), F.lit("twice")).alias("name"), F.when(F.col("p_partkey") % 7 == 0, "N/A").otherwise(F.col("p_brand")).alias("brand"))
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path)
+
+
+@query("SELECT concat(n_name, ' | ', r_name) AS cluster, CAST(n_nationkey % 2 AS VARCHAR) AS label FROM nation JOIN region ON n_regionkey = r_regionkey")
+def feedback_file(spark, sf_dir):
+    """A review file whose headers are in another case, read as feedback."""
+    from siftloom.sources import files
+
+    path = scratch(spark, "feedback")
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files.write_csv(rows.select(F.concat_ws(" | ", "n_name", "r_name").alias("Cluster"), (F.col("n_nationkey") % 2).cast("string").alias("LABEL"), "n_name"), path)
+    return files.read_feedback(spark, path)
+
+
+@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'must' ELSE 'cannot' END AS kind, n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey")
+def constraints_file(spark, sf_dir):
+    """Constraints written as one JSON file and read again."""
+    from siftloom.sources import files
+
+    path = scratch(spark, "constraints")
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files.write_constraints(rows.select(F.when(F.col("n_nationkey") % 2 == 0, "must").otherwise("cannot").alias("kind"), F.col("n_name").alias("a"), F.col("r_name").alias("b")), path)
+    return files.read_constraints(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS line_no, concat('- ', n_name) AS value FROM nation")
+def text_sink(spark, sf_dir):
+    """Report lines written as one text file, in their order."""
+    from siftloom.sources import files
+
+    path = scratch(spark, "lines")
+    lines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("line_no"), F.concat(F.lit("- "), "n_name").alias("line")).orderBy(F.col("line_no").desc())
+    files.write_lines(lines, path)
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\n$", "")), "\n")).alias("line_no", "value")).select(F.col("line_no").cast("long").alias("line_no"), "value")
+
+
+FILTERED_SQL = "SELECT concat('part', CAST(l_linenumber AS VARCHAR)) AS file, count(*) FILTER (" + MATCH_SQL.format(cell="cell", norm=NORM.format(t="t")) + ") AS kept, count(*) AS total FROM " + CODED_SQL + " WHERE l_linenumber < 3 GROUP BY 1"
+
+
+@query("WITH t AS (" + FILTERED_SQL + ") SELECT * FROM t UNION ALL SELECT 'none', 0, 25 UNION ALL SELECT 'files written', count(*), 2 FROM t")
+def filter_job(spark, sf_dir):
+    """The folder job of the first dialect over three CSV files, of which one keeps no row and so gets no output."""
+    from siftloom.plans import resolve
+    from siftloom.sources import files
+
+    base = scratch(spark, "job")
+    rows = coded(spark, sf_dir, ",").select(F.col("HSCode"), F.col("l_orderkey").cast("string").alias("ShipperName"), "l_linenumber")
+    for k in (1, 2):
+        rows.where(F.col("l_linenumber") == k).drop("l_linenumber").coalesce(1).write.csv(f"{base}/in/part{k}.csv", header=True)
+    table(spark, sf_dir, "nation").select(F.lit("847130").alias("HSCode"), F.col("n_name").alias("ShipperName")).coalesce(1).write.csv(f"{base}/in/none.csv", header=True)
+    done = resolve.filter_folder(spark, f"{base}/in", f"{base}/out")
+    out = [(path.rsplit("/", 2)[-2].removesuffix(".csv"), int(kept), int(total)) for path, kept, total in done]
+    written = len(files.list_files(spark, f"{base}/out", recursive=True))
+    return spark.createDataFrame([*out, ("files written", written, 2)], "file string, kept long, total long")
+
+
+@query("WITH t AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity > 40 AS INTEGER) AS y FROM lineitem) SELECT k, n, y, round(count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY y)), 9) AS w FROM t")
+def class_weights(spark, sf_dir):
+    """Balanced weights of two classes."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_quantity") > 40).cast("int").alias("y"))
+    return rounded(features.class_weights(rows), "w", digits=9)
+
+
 # ---- vocabulary of pairs --------------------------------------------------------------------------------------------
 
 VOCABULARY = """base AS (SELECT p_name AS name, count(*) AS cnt, min(p_partkey) AS pos FROM part GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftloom.functions import codes
+from siftloom.sources import files
 
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -29,17 +30,21 @@ def stream_filter(source: DataFrame, cell: Column, path: str, checkpoint: str) -
     source.where(codes.comma_cell_matches(cell)).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_constraints(source: DataFrame, store: str, checkpoint: str) -> None:
-    """Merge arriving constraints (kind, a, b) into the table at `store`, each pair once."""
+def stored_constraints(spark: SparkSession, store: str) -> DataFrame:
+    """(kind, a, b) of all that `stream_constraints` has put into the store, each pair once; empty where there is no store yet."""
     from siftloom.operators.feedback import union_constraints
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(store).select("kind", "a", "b")
-        except Exception:  # noqa: BLE001  (the first batch finds no store)
-            known = batch.limit(0)
-        merged = union_constraints(known, batch.select("kind", "a", "b")).checkpoint()
-        merged.write.mode("overwrite").parquet(store)
+    empty = spark.createDataFrame([], "kind string, a string, b string")
+    return union_constraints(empty, spark.read.parquet(store).select("kind", "a", "b")) if files.exists(spark, store) else empty
+
+
+def stream_constraints(source: DataFrame, store: str, checkpoint: str) -> None:
+    """Add arriving constraints (kind, a, b) to the store; `stored_constraints` reads it, each pair once.
+
+    A batch is a folder of its own, which only the same batch replaces when it is replayed: no failed read or write can harm what is there.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.select("kind", "a", "b").distinct().write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
