@@ -1,5 +1,6 @@
 """Mixing, packing, archives, nearest neighbours and the pipeline."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftloom.llm import mixing, neighbours, packing, warc
-from tests.llm.docs import frame, sample
+from tests.llm.docs import frame, prose, sample
 
 
 def size(text):
@@ -177,20 +178,62 @@ def test_neighbours_of_repeated_ids(spark):
     assert all(abs(s - d) < 1e-12 for (_, _, _, s), (d, _) in zip(got, far, strict=True))
 
 
+def plain_pipeline(spark, rows, labels, folder):
+    """The five stages in plain Python, but for the model's scores: (kept ids and texts by stage)."""
+    from siftloom.llm import toxicity
+    from tests.llm.test_dedup import linked, repeats
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), F.lit(True))
+    one = lambda t: float(model.score(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0])
+    clean = [(d, t) for d, t in rows if one(t) < 0.7]
+    groups = [(n, c if d is not None else None) for (d, _), (_, n, c) in zip(clean, linked(clean), strict=True)]
+    left, seen = [], set()
+    for (d, t), (n, c) in sorted(zip(clean, groups, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[0][1] or "")):
+        if n == 0 or c not in seen:
+            left.append((d, t))
+            seen |= {c} if n else set()
+    kept = [(d, bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")) for (d, _), (b, _, gone) in zip(left, repeats(left, 400, 51), strict=True)]
+    return clean, left, kept
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage's rows against plain Python, with labels to learn from."""
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    rows = sample()
+    rng = random.Random(8)
+    rows = [(d, t) for d, t in sample() if d is not None and d != 3]
+    rows += [(1000 + k, prose(rng, 40)) for k in range(60)]
+    rows += [(2000 + k, " ".join(rng.choice([prose(rng, 3), "you vile grubnik!!", "stupid zorfle YOU"]) for _ in range(12))) for k in range(40)]
+    labels = [(d, 1, int(d >= 2000)) for d, _ in rows if d % 3 and d >= 1000]
     folder = str(tmp_path / "sf")
     frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    want = plain_pipeline(spark, rows, labels, folder)
+    assert 20 < len(rows) - len(want[0]) <= 40 and len(want[1]) < len(want[0]) and sum(len(t) for _, t in want[2]) < sum(len(t or "") for _, t in want[1])
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, folder)
         if k < 4:
             assert out.columns == corpus_pipeline.COLUMNS, name
         out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    assert docs.agg(F.max("length")).first()[0] <= 2048
-    assert corpus_pipeline.run(spark, folder).count() == docs.count()
+        out = spark.read.parquet(f"{folder}/{name}")
+        if k < 3:
+            assert Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == Counter((d, t or "") for d, t in want[k]), name
+        if k == 3:
+            taken = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.mix(docs).collect()}
+            assert Counter(r["doc_id"] for r in out.collect()) == Counter({d: n for d, n in taken.items() if n})
+        docs, before = out, docs
+    full = Tokenizer.from_file(packing.default_tokenizer())
+    tokens = Counter()
+    for r in before.collect():
+        tokens[r["doc_id"]] += len(full.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in docs.collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == tokens and docs.agg(F.max("length")).first()[0] <= 2048
+    again = corpus_pipeline.run(spark, folder)
+    key = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert Counter(tuple(r[c] for c in key) for r in again.collect()) == Counter(tuple(r[c] for c in key) for r in docs.collect())
