@@ -417,9 +417,9 @@ def seed_pairs(spark, sf_dir):
 
 # ---- feedback, constraints, verifier ----------------------------------------------------------------------------------
 
-#: One reviewed cluster per brand: its first names as a pipe or JSON list.
+#: One reviewed cluster per brand: its names as a pipe or JSON list.
 REVIEWS_SQL = """rev AS (SELECT p_brand AS cluster_id, CASE WHEN CAST(substr(p_brand, 7) AS INTEGER) % 5 = 0 THEN '["' || string_agg(p_name, '","' ORDER BY p_name) || '"]' ELSE string_agg(p_name, ' | ' ORDER BY p_name) END AS cluster,
-  CAST(CAST(substr(p_brand, 7) AS INTEGER) % 3 AS VARCHAR) AS label FROM (SELECT DISTINCT p_brand, p_name FROM part WHERE p_partkey < 120) GROUP BY p_brand),
+  CAST(CAST(substr(p_brand, 7) AS INTEGER) % 3 AS VARCHAR) AS label FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY p_brand),
 mem AS (SELECT cluster_id, CAST(label AS INTEGER) AS label, list_filter(list_transform(string_split(CASE WHEN starts_with(cluster, '[') THEN replace(trim(cluster, '[]"'), '","', '|') ELSE cluster END, '|'), lambda x: trim(x)), lambda x: x <> '') AS members FROM rev),
 told AS (SELECT * FROM mem WHERE len(members) >= 2)"""
 FEEDBACK_SQL = PAIRS_SQL.rstrip() + ", " + REVIEWS_SQL + """,
@@ -430,7 +430,7 @@ neg AS (SELECT cluster_id, i, j, p FROM (SELECT fp.cluster_id, fp.i, fp.j, coale
 
 
 def reviews(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey < 120").select("p_brand", "p_name").distinct()
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
     number = F.substring("p_brand", 7, 9).cast("int")
     listed = F.array_sort(F.collect_list("p_name"))
     grouped = rows.groupBy("p_brand").agg(listed.alias("l"))
