@@ -9,7 +9,7 @@ The writer ends every row with a line feed; so that this byte doesn't break the
 head of a skippable frame of one byte, which that line feed fills.
 
 Defined results: null html is an empty payload; null urls are archived as `about:blank`; of rows with equal payloads, those with the smallest
-page_id are responses (all of them, if that page_id repeats) and the others revisits; null page_ids count as larger than any other and are archived
+page_id are responses (all of them, if that page_id repeats) and the others revisits, each row of a repeated page_id by its own payload; null page_ids count as larger than any other and are archived
 with no id; an empty table gives no archive and no rows. Extra columns are ignored.
 """
 
@@ -29,7 +29,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import batch_of, parts, scratch
+from siftloom.llm.common import batch_of, cut, parts, scratch
 
 #: Frame formats that must be as the Zstandard format and the archive convention state them.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -90,11 +90,24 @@ def train_dictionary(pages: DataFrame, records: int = 1500, size: int = 65_536,
         return b""
 
 
+#: A payload with more than one in so many of all pages is hot; so there are fewer hot payloads than this.
+HOT_SHARE = 2000
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of rows whose payload belongs to a smaller page_id; narrow rows only, pre-aggregated by payload."""
+    """(page_id, key, refers_to) of rows whose payload (known by its key) belongs to a smaller page_id; narrow rows only, pre-aggregated by payload.
+
+    Rows of the few hot payloads are recognised where they are read and dealt by page, so that no payload that very many pages share meets in one task.
+    """
     rows = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("key")).where(F.col("page_id").isNotNull())
-    first = rows.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("key", "refers_to")
-    return rows.join(first, "key").where(F.col("page_id") > F.col("refers_to")).select("page_id", "refers_to").distinct()
+    counted = cut(rows.groupBy("key").agg(F.min("page_id").alias("least"), F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = counted.where((F.col("n") > 1) & is_hot).select("key", F.col("least").alias("hot_least"))
+    rest = counted.where((F.col("n") > 1) & ~is_hot).select(F.col("key").alias("rest_key"), "least")
+    met = rows.join(F.broadcast(hot), "key", "left").withColumn("deal", F.when(F.col("hot_least").isNull(), F.col("key")).otherwise(F.col("page_id").cast("string")))
+    met = met.join(rest, F.col("deal") == F.col("rest_key"), "left").withColumn("refers_to", F.coalesce("hot_least", "least"))
+    return met.where(F.col("page_id") > F.col("refers_to")).select("page_id", "key", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, archives: int, dictionary: bytes, level: int = 3) -> None:
@@ -106,15 +119,18 @@ def write_archives(pages: DataFrame, path: str, archives: int, dictionary: bytes
         schema = pa.schema([("value", pa.binary())])
         data = zstd.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstd.ZstdCompressor(level=level, dict_data=data, write_content_size=True, write_checksum=True)
-        begun, mark = False, None
+        begun, marked, marks = False, None, {}
         for batch in batches:
             out, held = [], 0
-            for page, url, html, ref in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for page, url, html, ref, key in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if ref.is_valid:
-                    mark = (page.as_py(), ref.as_py())
+                    if marked != page.as_py():
+                        marked, marks = page.as_py(), {}
+                    marks[key.as_py()] = ref.as_py()
                     continue
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                refers_to = mark[1] if mark and mark[0] == page.as_py() else None
+                # only the payloads that smaller pages have are revisits, where a page comes with several
+                refers_to = marks.get(hashlib.sha256(payload).hexdigest()) if marks and page.as_py() == marked else None
                 frame = press.compress(record(page.as_py(), url.as_py(), payload, refers_to)) + LINE_FEED_FRAME
                 out.append(frame if begun else lead + frame)
                 begun, held = True, held + len(frame)
@@ -125,11 +141,12 @@ def write_archives(pages: DataFrame, path: str, archives: int, dictionary: bytes
                 yield batch_of(schema, [out])
 
     # revisit marks travel with the pages and sort before them, so payloads are shuffled once and joined with nothing
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(None).cast("long").alias("refers_to"))
-    marks = revisits(pages).select(F.col("page_id").cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("refers_to").cast("long").alias("refers_to"))
+    types = {"page_id": "long", "url": "string", "html": "string", "refers_to": "long", "key": "string"}
+    shaped = lambda df: df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+    rows, marks = shaped(pages.select("page_id", "url", "html")), shaped(revisits(pages))
     both = rows.unionByName(marks).withColumn("deal", F.coalesce("page_id", F.xxhash64("url", "html")))
     dealt = both.repartition(archives, "deal").sortWithinPartitions("page_id", F.col("refers_to").asc_nulls_last())
-    frames = dealt.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary")
+    frames = dealt.select(*types).mapInArrow(run, "value binary")
     frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 

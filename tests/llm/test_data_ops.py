@@ -141,6 +141,19 @@ def test_archives(spark, tmp_path):
     assert warc.archive(pages.limit(0), path + "2").count() == 0
 
 
+@pytest.mark.parametrize("share", [2, 10**9])
+def test_revisits_go_by_payload(spark, tmp_path, monkeypatch, share):
+    """A page with several payloads is a revisit by those that smaller pages have only; payloads hot and not."""
+    monkeypatch.setattr(warc, "HOT_SHARE", share)
+    rows = [(i, "u", "hot") for i in range(1, 80)] + [(i, "u", f"own{i // 2}") for i in range(100, 140)] + [(5, "v", "other"), (7, "v", "own50"), (120, "v", "hot"), (120, "w", "own50")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter(tuple(r) for r in warc.archive(pages, f"file://{tmp_path}/a").select("page_id", "payload_digest", "refers_to").collect())
+    first = {}
+    for i, _, h in rows:
+        first[h] = min(i, first.get(h, i))
+    assert got == Counter((i, warc.digest(h.encode()), first[h] if first[h] < i else None) for i, _, h in rows)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 16))
