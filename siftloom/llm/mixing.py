@@ -10,8 +10,8 @@ Documents stay whole: the last one is taken if that brings the source nearer to
 target by half a document at most.
 
 Defined results: a null or empty text has size 0 and is never taken; null sources are one source, the last;
-a null id counts as the empty text in the hash; rows that repeat have the same key and count each on its own; an empty table gives
-no rows. Extra columns are ignored.
+a null id counts as the empty text in the hash; rows that repeat have the same key and count each on its own; keys that tie
+go by id, size and text, so that reruns agree; an empty table gives no rows. Extra columns pass through, but for those named as a result's column, in any case.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from siftloom.llm.common import SPACE_CLASS
 
-BUCKETS = 4096
+#: So many buckets of keys that the one to be sorted stays small where a source has a third of all rows.
+BUCKETS = 1 << 16
+RESULTS = ("size", "source_size", "target", "taken")
 WEIGHTS = (5, 2, 1)
 
 
@@ -56,8 +58,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """Columns of `docs` (doc_id, text and source among them) with size, source_size, target and taken."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "key", "bucket")]
+    """Columns of `docs` (doc_id, text and source among them) with size, source_size, target and taken, which replace any of these names."""
+    given = [c for c in docs.columns if c.lower() not in RESULTS]
+    # other names than those of the steps below
+    kept = [c if c in ("doc_id", "text", "source") else f"given_{i}" for i, c in enumerate(given)]
+    docs = docs.select(*(docs[c].alias(k) for c, k in zip(given, kept, strict=True)))
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE_CLASS + "+"), "")).cast("long")
     rows = docs.select(*kept, size.alias("size"), exponential_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"))
     rows = rows.withColumn("bucket", F.least(F.floor(BUCKETS * (1 - F.exp(-F.col("key")))), F.lit(BUCKETS - 1)).cast("int"))
@@ -78,12 +83,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
     )
     joined = rows.alias("r").join(plan.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")))
     joined = joined.select("r.*", "q.source_size", "q.target", "q.epochs", "q.budget", "q.edge", "q.before")
-    inner = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source").orderBy("key", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
     near = joined.where(F.col("bucket") == F.col("edge")).withColumn("sum", F.col("before") + F.sum("size").over(inner))
     near = near.withColumn("more", (F.col("sum") - F.col("size") / 2 <= F.col("budget")).cast("long")).drop("sum")
     far = joined.where(F.col("bucket") != F.col("edge")).withColumn("more", (F.col("bucket") < F.col("edge")).cast("long"))
     both = far.unionByName(near)
-    return both.select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    own = (F.col(k).alias(c) for c, k in zip(given, kept, strict=True))
+    return both.select(*own, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
