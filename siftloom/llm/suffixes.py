@@ -5,8 +5,8 @@ last of equals. Equal windows have their anchors at the same place, so a window
 does: grams are counted over the whole corpus, one text standing for each group of equal texts, and only
 windows around grams that are found twice go on, as suffixes with the bytes they need.
 
-Splitters sampled from the leading grams cut these suffixes into ranges of bounded size; a gram that several splitters fall on
-is dealt over all its ranges. Each range sorts its suffixes by multikey quicksort, a key being the next 64 bytes, and windows
+Splitters from a sample (200,000 at most) of the leading grams cut these suffixes into ranges of bounded size; where that needs more ranges than the
+sample can tell apart, each stretch between splitters is cut further by a hash of the gram. A gram that several splitters fall on is dealt over all its ranges. Each range sorts its suffixes by multikey quicksort, a key being the next 64 bytes, and windows
 that are equal over the whole length are repeated. Suffixes of dealt grams that found no equal in their own range are compared
 across the boundaries, one representative of each range's distinct windows taking part.
 
@@ -30,6 +30,7 @@ from siftloom.llm.common import batch_of, cut, free_shuffles, from_planes, in_bi
 LENGTH, GRAM, BLOCK = 400, 128, 64
 U = np.uint64
 GROUP_STEP = U(0xD1342543DE82EF95)
+GRAM_STEP = 0x9E3779B97F4A7C15
 PLACE_BITS = 18
 #: Bytes of text that one numpy pass takes at a time.
 SLICE = 1 << 16
@@ -138,8 +139,11 @@ def pick_rows(base: DataFrame, bitmap, key: str = "f1") -> DataFrame:
 CONTEXT_DDL = "bucket int, dealt boolean, f1 long, f2 long, gram long, lo int, hi int, bytes binary"
 
 
-def contexts(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
-    """The suffixes of each flagged run with the bytes they need, and the range they belong to. rows: (f1, f2, text, runs)."""
+def contexts(rows: DataFrame, splitters: np.ndarray, length: int, finer: int = 1) -> DataFrame:
+    """The suffixes of each flagged run with the bytes they need, and the range they belong to. rows: (f1, f2, text, runs).
+
+    Each stretch between splitters is `finer` ranges: a gram has one of them, by its hash, or all if it is dealt.
+    """
     types = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     schema = pa.schema(list(zip("bucket dealt f1 f2 gram lo hi bytes".split(), types, strict=True)))
 
@@ -152,7 +156,10 @@ def contexts(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
                 for r in runs.as_py():
                     g = r["gram"]
                     low, high = int(np.searchsorted(splitters, g, "left")), int(np.searchsorted(splitters, g, "right"))
-                    bucket = low if high == low else low + (a ^ b * 31 + r["lo"]) % (high - low + 1)
+                    if high == low:
+                        bucket = low * finer + (g * GRAM_STEP >> 20) % finer
+                    else:
+                        bucket = low * finer + (a ^ b * 31 + r["lo"]) % ((high - low + 1) * finer)
                     out.append((bucket, high > low, a, b, g, r["lo"], r["hi"], data[r["lo"] : r["hi"] + length]))
                     held += r["hi"] + length - r["lo"]
                 if held > 1 << 22:
@@ -397,7 +404,7 @@ def whole(c) -> F.Column:
     return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1))))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 1 << 20, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 1 << 20, words: int = WORDS, sampled: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(base, decisions): decisions has (doc_id, f1, f2, starts, ends, passage_starts, passage_ends) of the rows with repeats.
 
     starts and ends bound the bytes covered by strings of `length` bytes that occur elsewhere; the others bound passages of `words` words or more that
@@ -425,12 +432,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rang
     total = flagged.agg(F.sum(F.col("hi") - F.col("lo") + length), F.count("*")).first()
     size, n = int(total[0] or 0), int(total[1])
     ranges = max(parts(spark), -(-size // range_bytes)) if n else 1
-    # splitters from about 64 suffixes per range, 200,000 at most, chosen by hash
-    one_in = max(1, n // min(64 * ranges, 200_000))
+    # splitters from about 64 suffixes per range, `sampled` at most, chosen by hash
+    one_in = max(1, n // min(64 * ranges, sampled))
     sample = flagged.where(F.pmod(F.xxhash64("f1", "lo", F.lit(3)), F.lit(one_in)) == 0).select("gram").toPandas()["gram"].to_numpy(np.int64)
     sample = np.sort(sample)
-    splitters = sample[np.linspace(0, len(sample) - 1, ranges + 1)[1:-1].astype(np.int64)] if len(sample) and ranges > 1 else np.zeros(0, np.int64)
-    found = cut(sort_ranges(contexts(flagged_texts(flagged), splitters, length), length, max(8, ranges)))
+    # eight of the sample at least between two splitters; ranges beyond those are cut by hash
+    stretches = min(ranges, max(1, len(sample) // 8))
+    splitters = sample[np.linspace(0, len(sample) - 1, stretches + 1)[1:-1].astype(np.int64)] if stretches > 1 else np.zeros(0, np.int64)
+    found = cut(sort_ranges(contexts(flagged_texts(flagged), splitters, length, -(-ranges // stretches)), length, max(8, ranges)))
     free_shuffles(spark)
     spans = found.where("bucket = -1").unionByName(across_boundaries(found.where("bucket >= 0"), length)).select("f1", "f2", "starts", "ends")
     all_of = lambda rows: rows.select("f1", "f2", whole(F.lit(0)).alias("starts"), whole(F.col("n")).alias("ends"))
@@ -484,7 +493,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 1 << 20, words: int = WORDS) -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes: int = 1 << 20, words: int = WORDS, sampled: int = 200_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated) of every row.
 
     n_repeated counts the bytes of repeats of either kind: those removed, and those of passages of `words` words or more that another text has too.
@@ -496,7 +505,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, range_bytes:
     def make(own, data, removed, either):
         return *own, total(removed), len(removed), hashlib.sha256(kept_bytes(data, removed)).hexdigest(), total(either)
 
-    base, decisions = repeated_spans(docs, length, gram, range_bytes, words)
+    base, decisions = repeated_spans(docs, length, gram, range_bytes, words, sampled)
     changed = cut(changed_rows(base, decisions, "doc_id long, f1 long, f2 long, n_removed long, n_spans long, kept string, n_repeated long", schema, make).distinct())
     data = F.col("text").cast("binary")
     rows = base.select("doc_id", "f1", "f2", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
