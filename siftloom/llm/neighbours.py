@@ -5,8 +5,9 @@ bucket and then perturbed ones in the order of their estimated chance to hold ne
 projections to the cells' walls). Candidates of all tables are merged and ranked by exact Euclidean distance in double precision.
 
 Equal vectors are indexed once and expanded behind the search, so a vector that many rows share fills no bucket. Queries and
-vectors meet by bucket: both are dealt by (table, bucket), so no task needs all of either, and each task returns only the best few
-of each query. A query whose buckets hold too few points is searched exactly, in blocks. The random projections are fixed by a seed; only
+vectors meet by bucket: both are dealt by ranges of buckets, so no task needs all of either, and each task returns only the best few
+of each query. A range that holds too many vectors (a dense bucket) is salted: its vectors are dealt over several parts, all of which its
+queries visit. A query whose buckets hold too few points is searched exactly, in blocks. The random projections are fixed by a seed; only
 the cells' width follows the data, by the root mean square distance of all vectors from their mean.
 
 Defined results: vectors that are null, zero, or of another length than most, or that hold null or non-finite components, take no part, as
@@ -129,8 +130,62 @@ def nearest(points: np.ndarray, score: np.ndarray, best: int) -> tuple[np.ndarra
     return points[top], score[top]
 
 
-def dealt(rows: DataFrame, hashing: Hashing, ranges: int, query: bool) -> DataFrame:
-    """Vectors (or queries, once per range that holds a bucket they visit) packed by range of bucket codes. rows: (name, tie, v)."""
+@dataclass(frozen=True)
+class Deal:
+    """Ranges of bucket codes; a dense range (sorted numbers) has `extra` parts more, numbered from `first` on."""
+
+    ranges: int
+    dense: np.ndarray
+    extra: np.ndarray
+    first: np.ndarray
+
+    def range_of(self, codes: np.ndarray) -> np.ndarray:
+        return (codes % np.uint64(self.ranges)).astype(np.int64)
+
+    def parts(self, ranges: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The part of each vector: its range, or one of a dense range's parts by the vector's salt."""
+        if not len(self.dense):
+            return ranges
+        k = np.minimum(np.searchsorted(self.dense, ranges), len(self.dense) - 1)
+        pick = (salt % (self.extra[k] + 1).astype(np.uint64)).astype(np.int64)
+        return np.where((self.dense[k] == ranges) & (pick > 0), self.first[k] + pick - 1, ranges)
+
+    def added(self, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into `ranges`, part) of the further parts that visits of these ranges have to go to."""
+        if not len(self.dense):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.dense, ranges), len(self.dense) - 1)
+        at = np.flatnonzero(self.dense[k] == ranges)
+        count = self.extra[k[at]]
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(at, count), np.repeat(self.first[k[at]], count) + place
+
+
+#: At most so many ranges are salted.
+DENSE_RANGES = 1_000_000
+
+
+def deal(rows: DataFrame, hashing: Hashing, ranges: int, most: int) -> Deal:
+    """Ranges with more than `most` vectors get a part for each `most`; only their numbers reach the driver, DENSE_RANGES at most."""
+    schema = pa.schema([("range", pa.int64()), ("n", pa.int64())])
+    plain = Deal(ranges, *(np.zeros(0, np.int64),) * 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = matrix(batch.column(2), hashing.dimension)
+            codes = [hashing.code(np.floor(hashing.places(v, t)), t) for t in range(hashing.tables)]
+            yield batch_of(schema, list(np.unique(plain.range_of(np.concatenate(codes)), return_counts=True)))
+
+    counts = cut(rows.mapInArrow(run, "range long, n long").groupBy("range").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(most, -(-total // DENSE_RANGES))
+    heavy = counts.where(F.col("n") > most).orderBy("range").toPandas()
+    extra = (-(-heavy["n"].to_numpy(np.int64) // most)) - 1
+    return Deal(ranges, heavy["range"].to_numpy(np.int64), extra, ranges + np.cumsum(extra) - extra)
+
+
+def dealt(rows: DataFrame, hashing: Hashing, plan: Deal, query: bool) -> DataFrame:
+    """Vectors (or queries, once per part that holds a bucket they visit) packed by part. rows: (name, tie, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +194,20 @@ def dealt(rows: DataFrame, hashing: Hashing, ranges: int, query: bool) -> DataFr
                 ids, v = couples(part), matrix(part.column(2), hashing.dimension)
                 for t in range(hashing.tables):
                     codes = hashing.probe_codes(v, t) if query else hashing.code(np.floor(hashing.places(v, t)), t)[:, None]
-                    range_of = (codes % np.uint64(ranges)).astype(np.int64)
+                    owner, flat = np.repeat(np.arange(len(ids)), codes.shape[1]), codes.ravel()
+                    own = plan.range_of(flat)
+                    if query:
+                        at, further = plan.added(own)
+                        owner, flat, own = np.r_[owner, owner[at]], np.r_[flat, flat[at]], np.r_[own, further]
+                    else:
+                        own = plan.parts(own, mix(ids[:, 0].view(np.uint64)))
+                    order = np.argsort(own, kind="stable")
+                    own, owner, flat = own[order], owner[order], flat[order]
+                    bounds = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                     out = []
-                    for r in np.unique(range_of):
-                        who, which = np.nonzero(range_of == r)
-                        out.append((r, int(query), ids[who].tobytes(), codes[who, which].tobytes(), b"" if query else v[who].tobytes()))
+                    for i, j in zip(bounds, np.r_[bounds[1:], len(own)], strict=True):
+                        r, who = own[i], owner[i:j]
+                        out.append((r, int(query), ids[who].tobytes(), flat[i:j].tobytes(), b"" if query else v[who].tobytes()))
                         if query:
                             some = np.unique(who)
                             out.append((r, 2, ids[some].tobytes(), b"", v[some].tobytes()))
@@ -223,8 +287,8 @@ def exact_ranges(vectors: DataFrame, queries: DataFrame, dimension: int, best: i
     return left.crossJoin(vectors.mapInArrow(pack, "ids binary, vectors binary")).mapInArrow(run, "query long, ids binary, scores binary")
 
 
-def search(table: DataFrame, is_query, k: int = 10, hashing: Hashing | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found. is_query: a condition on vec_id."""
+def search(table: DataFrame, is_query, k: int = 10, hashing: Hashing | None = None, range_bytes: int = 24 << 20) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest found. is_query: a condition on vec_id; ranges of buckets hold about `range_bytes`."""
     spark = table.sparkSession
     common = table.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -244,9 +308,11 @@ def search(table: DataFrame, is_query, k: int = 10, hashing: Hashing | None = No
     vectors = points.select("name", "tie", "v")
     points_asked = cut(each.where(is_query).join(points.select("key", "key2", "name"), ["key", "key2"]).select(F.col("name").alias("point"), "vec_id"))
     queries = vectors.join(points_asked.select(F.col("point").alias("name")).distinct(), "name", "left_semi").select("name", "tie", "v")
-    ranges = max(parts(spark), -(-points.count() * hashing.tables * (8 * hashing.dimension + 16) // (24 << 20)))
+    each_bytes = 8 * hashing.dimension + 16
+    ranges = max(parts(spark), -(-points.count() * hashing.tables * each_bytes // range_bytes))
+    plan = deal(vectors, hashing, ranges, max(1, 2 * range_bytes // each_bytes))
     # a point's own other members are neighbours as well, so one more point than k is kept
-    found = search_ranges(dealt(vectors, hashing, ranges, False), dealt(queries, hashing, ranges, True), hashing, k + 1)
+    found = search_ranges(dealt(vectors, hashing, plan, False), dealt(queries, hashing, plan, True), hashing, k + 1)
 
     def merge(part: pa.Table) -> pa.Table:
         ids = np.concatenate([from_couples(x.as_buffer()) for x in part.column("ids")])

@@ -203,6 +203,28 @@ def test_neighbours_of_repeated_ids(spark):
     assert all(abs(s - d) < 1e-12 for (_, _, _, s), (d, _) in zip(got, far, strict=True))
 
 
+def test_dense_buckets_are_salted(spark):
+    """One bucket with most of the vectors, dealt over parts or not: the same neighbours, and no part above its bound."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((300, 8)), 3 + 0.01 * rng.standard_normal((700, 8))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole, salted = (sorted(map(tuple, neighbours.search(table, F.col("vec_id") % 50 == 0, range_bytes=b).collect())) for b in (24 << 20, 8 << 10))
+    assert whole == salted and len(whole) == 200
+    hashing = neighbours.Hashing(8, scale=neighbours.spread(neighbours.usable(table, 8).select("vec_id", "v")))
+    rows = table.select(F.col("vec_id").alias("name"), F.col("vec_id").alias("tie"), F.col("embedding").alias("v"))
+    plan = neighbours.deal(rows, hashing, 16, 200)
+    assert len(plan.dense)
+    sizes = [sum(len(r["codes"]) // 8 for r in g) for g in _by_part(neighbours.dealt(rows, hashing, plan, False).collect())]
+    assert sum(sizes) == 4 * len(x) and max(sizes) < 300
+
+
+def _by_part(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r["part"]].append(r)
+    return out.values()
+
+
 def plain_pipeline(spark, rows, labels, folder):
     """The five stages in plain Python, but for the model's scores: (kept ids and texts by stage)."""
     from siftloom.llm import toxicity
