@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import SPACE_CLASS
+from siftloom.llm.common import SPACE_CLASS, cut
 
-#: So many buckets of keys that the one to be sorted stays small where a source has a third of all rows.
-BUCKETS = 1 << 16
+BUCKETS = 4096
+#: The plan (one row per source) is broadcast up to so many sources, some 10 MB; beyond, it is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 RESULTS = ("size", "source_size", "target", "taken")
 WEIGHTS = (5, 2, 1)
 
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
     kept = [c if c in ("doc_id", "text", "source") else f"given_{i}" for i, c in enumerate(given)]
     docs = docs.select(*(docs[c].alias(k) for c, k in zip(given, kept, strict=True)))
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE_CLASS + "+"), "")).cast("long")
-    rows = docs.select(*kept, size.alias("size"), exponential_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"))
+    rows = docs.select(*kept, size.alias("size"), exponential_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"), F.xxhash64("text").alias("tie"))
     rows = rows.withColumn("bucket", F.least(F.floor(BUCKETS * (1 - F.exp(-F.col("key")))), F.lit(BUCKETS - 1)).cast("int"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     source = sums.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -81,9 +82,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
         .agg(F.min(F.struct("e.bucket", (F.col("e.end") - F.col("e.size")).alias("before"))).alias("edge"))
         .select("source", "source_size", "target", "epochs", "budget", F.coalesce("edge.bucket", F.lit(BUCKETS)).alias("edge"), F.col("edge.before").alias("before"))
     )
+    plan = cut(plan)
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     joined = rows.alias("r").join(plan.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")))
     joined = joined.select("r.*", "q.source_size", "q.target", "q.epochs", "q.budget", "q.edge", "q.before")
-    inner = Window.partitionBy("source").orderBy("key", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     near = joined.where(F.col("bucket") == F.col("edge")).withColumn("sum", F.col("before") + F.sum("size").over(inner))
     near = near.withColumn("more", (F.col("sum") - F.col("size") / 2 <= F.col("budget")).cast("long")).drop("sum")
     far = joined.where(F.col("bucket") != F.col("edge")).withColumn("more", (F.col("bucket") < F.col("edge")).cast("long"))

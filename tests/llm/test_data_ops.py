@@ -52,16 +52,18 @@ def test_mixing(spark):
     assert sum(size(r["text"]) for r in copies.collect()) == sum(r["taken"] for r in got)
 
 
-def test_mixing_with_ties_and_clashes(spark):
-    """Rows of one id tie by key; extra columns with names of the steps pass through."""
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_mixing_with_ties_and_clashes(spark, monkeypatch, broadcast):
+    """Rows of one id tie by key; extra columns with names of the steps pass through; the plan broadcast or not."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = [(7, "a b c", "s"), (7, "d e f", "s"), (7, "g h", "s"), (8, "i", "t")] * 5
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for name in ("key", "bucket", "epochs", "more", "sum", "edge", "Size"):
+    for name in ("key", "bucket", "epochs", "more", "sum", "edge", "tie", "Size"):
         docs = docs.withColumn(name, F.lit(name))
     runs = [mixing.mix(docs.repartition(n)) for n in (1, 5, 3)]
-    assert runs[0].columns == ["doc_id", "text", "source", "key", "bucket", "epochs", "more", "sum", "edge", "size", "source_size", "target", "taken"]
+    assert runs[0].columns == ["doc_id", "text", "source", "key", "bucket", "epochs", "more", "sum", "edge", "tie", "size", "source_size", "target", "taken"]
     results = [Counter(tuple(r) for r in run.collect()) for run in runs]
-    assert results[0] == results[1] == results[2] and len({r[3:9] for r in results[0]}) == 1
+    assert results[0] == results[1] == results[2] and len({r[3:10] for r in results[0]}) == 1
 
 
 def test_packing(spark):
