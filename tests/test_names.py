@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from siftloom.functions import text
@@ -49,6 +50,29 @@ def test_neighbours(spark):
     assert got[0, 1] == (1, 1.0) and got[0, 2] == (2, 0.0) and got[3, 1] == (0, 0.0)
 
 
+def test_neighbours_over_several_blocks(spark):
+    """Copies, ties, zero vectors, values that aren't numbers and repeated ids against brute force, and no shuffle of blocks or similarities."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (4500, 4)).astype(float)
+    x[7, 2] = np.nan
+    ids = np.r_[0:4499, 17]
+    rows = list(zip(ids.tolist(), x.tolist(), strict=True))
+    near = candidates.nearest_by_vectors(spark.createDataFrame([rows[i] for i in rng.permutation(4500)], "name_id long, v array<float>"), 12)
+    assert "Exchange" not in near._jdf.queryExecution().toString()
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    unit[7] = np.nan
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["i"], []).append((r["rank"], r["j"], r["sim"]))
+    assert 7 not in got and len(got) == 4498
+    for i in [0, 1, 2, 6, 8, 2047, 2048, 4498, *rng.integers(18, 4498, 300).tolist()]:
+        sim = np.round(unit @ unit[i], 9)
+        sim[(ids == i) | np.isnan(sim)] = -np.inf
+        order = np.lexsort((ids, -sim))[:11]
+        assert sorted(got[i]) == [(n + 1, int(ids[j]), sim[j]) for n, j in enumerate(order)]
+
+
 def test_sequence_ratio_order(spark):
     r = spark.createDataFrame([("tide", "diet"), ("diet", "tide"), ("", "")], "a string, b string").select(features.sequence_ratio("a", "b").alias("r")).collect()
     assert [x["r"] for x in r] == [0.25, 0.5, 1.0]
