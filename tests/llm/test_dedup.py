@@ -63,6 +63,27 @@ def test_near_duplicates(spark, small):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, linked(rows)))
 
 
+def test_only_sets_of_pairs_that_pass_travel_whole(spark, monkeypatch):
+    """Texts that share two of three paragraphs are candidates in plenty; few of them, the near copies, need their whole sets compared."""
+    import random
+
+    rng = random.Random(4)
+    paragraphs = [" ".join(f"p{k}w{rng.randrange(10**6)}" for _ in range(60)) for k in range(12)]
+    rows = [(k, " ".join(rng.sample(paragraphs, 3))) for k in range(100)]
+    rows += [(1000 + k, rows[k][1].replace(" ", " changed ", 1)) for k in range(4)]
+    asked, sets_of = [], jaccard.sets_of
+
+    def seen(docs, wanted, *rest):
+        asked.append((jaccard.signatures in rest, wanted.count()))
+        return sets_of(docs, wanted, *rest)
+
+    monkeypatch.setattr(jaccard, "sets_of", seen)
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, linked(rows)))
+    signed, whole = (sum(n for s, n in asked if s is kind) for kind in (True, False))
+    assert 0 < whole < signed / 2
+
+
 def test_long_near_copies(spark):
     """Two texts that share more than 65,536 prefix tokens are still linked."""
     words = [f"w{i}" for i in range(300_100)]
